@@ -1,7 +1,6 @@
 """The product signature: everything matching needs to know about a name.
 
-The name is parsed in stages, each a projection of its own, so that an
-intermediate text is evaluated once per row and not once per use.
+The name is parsed in stages whose intermediate texts are bound once per row.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .text import bind
 
 SIGNATURE_FIELDS = (
     "source_name", "normalized_text", "core_tokens", "core_key", "volume_ml", "pack_count",
@@ -17,36 +17,43 @@ SIGNATURE_FIELDS = (
 )
 
 
-def with_signature(df: DataFrame, name: str = "name", out: str = "sig") -> DataFrame:
-    """Append the signature struct of column ``name`` as ``out``."""
-    source = F.coalesce(F.col(name), F.lit(""))
-    staged = (
-        df.withColumn("_text", X.apply_aliases(source))
-        .withColumns(
-            {
-                "_tokens": X.core_tokens_of(F.col("_text")),
-                "_volume": X.extract_volume_ml(F.col("_text")),
-            }
-        )
-        .withColumn("_pack", X.pack_count_of(F.col("_text"), F.col("_volume")))
-    )
-    tokens = F.col("_tokens")
-    return staged.withColumn(
-        out,
-        F.struct(
+def signature(name: Column) -> Column:
+    """Signature struct of a product name."""
+    source = F.coalesce(name, F.lit(""))
+
+    def fields(text: Column, tokens: Column, volume: Column, pack: Column) -> Column:
+        return F.struct(
             source.alias("source_name"),
-            F.col("_text").alias("normalized_text"),
+            text.alias("normalized_text"),
             tokens.alias("core_tokens"),
             X.core_key(tokens).alias("core_key"),
-            F.col("_volume").alias("volume_ml"),
-            F.col("_pack").alias("pack_count"),
-            F.col("_pack").isNotNull().alias("is_pack"),
+            volume.alias("volume_ml"),
+            pack.alias("pack_count"),
+            pack.isNotNull().alias("is_pack"),
             X.infer_brand(tokens).alias("brand"),
             X.variant_tokens(tokens).alias("variant_tokens"),
             X.extract_abv_pct(source).alias("abv_pct"),
             X.extract_vintage_year(source).alias("vintage_year"),
-        ),
-    ).drop("_text", "_tokens", "_volume", "_pack")
+        )
+
+    def with_text(text: Column) -> Column:
+        parsed = F.struct(
+            X.core_tokens_of(text).alias("tokens"), X.extract_volume_ml(text).alias("volume")
+        )
+        return bind(
+            parsed,
+            lambda p: bind(
+                X.pack_count_of(text, p["volume"]),
+                lambda pack: fields(text, p["tokens"], p["volume"], pack),
+            ),
+        )
+
+    return bind(X.apply_aliases(source), with_text)
+
+
+def with_signature(df: DataFrame, name: str = "name", out: str = "sig") -> DataFrame:
+    """Append the signature struct of column ``name`` as ``out``."""
+    return df.withColumn(out, signature(F.col(name)))
 
 
 def comparison_key(sig: Column) -> Column:

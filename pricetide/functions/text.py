@@ -12,6 +12,15 @@ from pyspark.sql import types as T
 from . import wordlists as W
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Binding through a lambda keeps an intermediate from being evaluated again in
+    each of its uses, also when a filter is pushed below the projection.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
     """Latin letters and signs whose compatibility form differs from themselves."""
     singles, expansions = {}, []
@@ -74,27 +83,46 @@ def _loose_marks(folded: Column) -> Column:
     return F.translate(marked, "'’", "  ")
 
 
+# Every phrase table entry contains one of these, so most names skip the table.
+_PHRASE_HINT = r"\bjw\b|etiqueta|walker|jack|\bj [bw]\b|six pack"
+
+
+def _unify_phrases(text: Column, phrases) -> Column:
+    return bind(
+        text,
+        lambda t: F.when(t.rlike(_PHRASE_HINT), _replace_phrases(t, phrases)).otherwise(t),
+    )
+
+
 def apply_aliases(c: Column) -> Column:
     """Fold, open up ``&`` and quotes, and unify spelling variants."""
     text = F.concat(F.lit(" "), _loose_marks(ascii_fold(c)), F.lit(" "))
-    return F.trim(F.regexp_replace(_replace_phrases(text, W.PHRASE_ALIASES), r"\s+", " "))
+    return F.trim(F.regexp_replace(_unify_phrases(text, W.PHRASE_ALIASES), r"\s+", " "))
 
 
 def _number(raw: Column) -> Column:
     return F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def _within(value: Column, low, high) -> Column:
+    return bind(value, lambda v: F.when(v.between(low, high), v))
+
+
 def extract_volume_ml(c: Column) -> Column:
     pattern = "(?i)(?<!\\d)" + W.VOLUME_PATTERN
-    unit = F.lower(F.regexp_extract(c, pattern, 2))
-    factor = F.when(unit.isin("ml", "cc"), 1.0).when(unit == "cl", 10.0).otherwise(1000.0)
-    volume = F.bround(_number(F.regexp_extract(c, pattern, 1)) * factor, 0)
-    return F.when(volume.between(20, 20000), volume.cast("int"))
+
+    def scaled(hit: Column) -> Column:
+        unit = F.lower(F.regexp_extract(hit, pattern, 2))
+        factor = F.when(unit.isin("ml", "cc"), 1.0).when(unit == "cl", 10.0).otherwise(1000.0)
+        volume = F.bround(_number(F.regexp_extract(hit, pattern, 1)) * factor, 0)
+        return F.when(hit != "", _within(volume, 20, 20000).cast("int"))
+
+    return bind(F.regexp_extract(c, pattern, 0), scaled)
 
 
 def extract_abv_pct(c: Column) -> Column:
     value = _number(F.regexp_extract(c, "(?i)(?<!\\d)" + W.ABV_PATTERN + r"(?!\d)", 1))
-    return F.when(value.between(0.0, 96.0), value)
+    return F.when(c.rlike("(?i)[%°]|grado"), _within(value, 0.0, 96.0))
 
 
 def extract_vintage_year(c: Column) -> Column:
@@ -105,17 +133,29 @@ def extract_vintage_year(c: Column) -> Column:
     return F.array_max(F.filter(years, lambda y: y <= 2035))
 
 
+# No pack pattern or word matches a name without one of these.
+_PACK_HINT = (
+    r"[0-9]\s*[x×u]|[x×]\s*[0-9]|pack|caja|case|combo|estuche|botella|lata|regalo|incluye"
+    r"|copa|vaso|jigger|miniatura|personalizad|grabad|\+|\by\b"
+)
+
+
 def pack_count_of(text: Column, volume_ml: Column) -> Column:
     """Units per pack of an aliased name; null for a single bottle."""
-    steps = []
-    for pattern in W.PACK_COUNT_PATTERNS:
-        count = F.regexp_extract(text, "(?i)" + pattern, 1).try_cast("int")
-        steps.append(F.when(count.between(2, 48), count))
-    for pattern in W.MULTIPLIER_PATTERNS:
-        count = F.regexp_extract(text, "(?i)" + pattern, 1).try_cast("int")
-        steps.append(F.when(volume_ml.isNotNull() & count.isin(*W.MULTIPLIER_COUNTS), count))
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(text, "(?i)" + pattern, 1).try_cast("int")
+
+    steps = [_within(number(pattern), 2, 48) for pattern in W.PACK_COUNT_PATTERNS]
+    steps += [
+        F.when(
+            volume_ml.isNotNull(),
+            bind(number(pattern), lambda n: F.when(n.isin(*W.MULTIPLIER_COUNTS), n)),
+        )
+        for pattern in W.MULTIPLIER_PATTERNS
+    ]
     steps.append(F.when(is_pack_text(text), F.lit(2)))
-    return F.coalesce(*steps)
+    return F.when(text.rlike(_PACK_HINT), F.coalesce(*steps))
 
 
 def is_pack_text(text: Column) -> Column:
@@ -123,27 +163,36 @@ def is_pack_text(text: Column) -> Column:
 
 
 def extract_pack_count(c: Column) -> Column:
-    text = apply_aliases(c)
-    return pack_count_of(text, extract_volume_ml(text))
+    return bind(apply_aliases(c), lambda text: pack_count_of(text, extract_volume_ml(text)))
 
 
 def _without_amounts(text: Column) -> Column:
-    text = F.regexp_replace(text, W.PRICE_IN_NAME_PATTERN, " ")
-    text = F.regexp_replace(text, W.PERCENT_IN_NAME_PATTERN, " ")
-    return F.regexp_replace(text, "(?i)(?<!\\d)" + W.VOLUME_PATTERN, " ")
+    def marked(t: Column) -> Column:
+        cut = F.regexp_replace(t, W.PRICE_IN_NAME_PATTERN, " ")
+        return F.when(
+            t.rlike("[$%]"), F.regexp_replace(cut, W.PERCENT_IN_NAME_PATTERN, " ")
+        ).otherwise(t)
 
+    return F.regexp_replace(bind(text, marked), "(?i)(?<!\\d)" + W.VOLUME_PATTERN, " ")
 
-def core_tokens_of(text: Column) -> Column:
-    """Identity-bearing words of an aliased name, in order, repeats kept."""
-    cleaned = _without_amounts(text)
+
+def _without_packs(text: Column) -> Column:
+    cleaned = text
     for pattern in W.PACK_COUNT_PATTERNS:
         cleaned = F.regexp_replace(cleaned, "(?i)" + pattern, " ")
+    return F.when(text.rlike(_PACK_HINT), cleaned).otherwise(text)
+
+
+def core_tokens_of(text: Column) -> Column:
+    """Identity-bearing words of an aliased name, in order, repeats kept."""
+    cleaned = bind(_without_amounts(text), _without_packs)
     words = F.regexp_extract_all(cleaned, F.lit("([a-z0-9]+)"), F.lit(1))
 
     def unify(word: Column) -> Column:
+        renamed = None
         for source, target in W.TOKEN_ALIASES.items():
-            word = F.when(word == source, F.lit(target)).otherwise(word)
-        return word
+            renamed = (F if renamed is None else renamed).when(word == source, F.lit(target))
+        return renamed.otherwise(word)
 
     return F.filter(
         F.transform(words, unify), lambda word: ~word.isin(*W.GENERIC_WORDS, "and")
@@ -169,15 +218,19 @@ def variant_tokens(tokens: Column) -> Column:
 def infer_brand(tokens: Column) -> Column:
     """Known brand phrase, else the leading words; null only without tokens."""
     padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    any_known = padded.rlike(" (" + "|".join(W.KNOWN_BRANDS) + ") ")
-    known = F.coalesce(
-        *[F.when(padded.contains(f" {brand} "), F.lit(brand)) for brand in W.KNOWN_BRANDS]
+    openers = F.array(*[F.lit(w) for w in sorted({b.split()[0] for b in W.KNOWN_BRANDS})])
+    maybe_known = F.arrays_overlap(tokens, openers)
+    known = bind(
+        padded,
+        lambda p: F.coalesce(
+            *[F.when(p.contains(f" {brand} "), F.lit(brand)) for brand in W.KNOWN_BRANDS]
+        ),
     )
     first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
     leading = F.when(
         second.isNotNull() & ~_is_variant(second), F.concat_ws(" ", first, second)
     ).otherwise(first)
-    return F.when(any_known, known).otherwise(leading)
+    return F.when(maybe_known, F.coalesce(known, leading)).otherwise(leading)
 
 
 def _key_words(folded: Column) -> Column:
@@ -187,28 +240,32 @@ def _key_words(folded: Column) -> Column:
 
 def normalized_key(c: Column) -> Column:
     """Exact identity of a name: meaningful words and volume."""
-    folded = ascii_fold(c)
-    words = F.array_join(_key_words(folded), " ")
-    volume = extract_volume_ml(folded).cast("string")
-    key = F.concat_ws("|", F.nullif(words, F.lit("")), volume)
-    return F.when(key == "", F.trim(folded)).otherwise(key)
+
+    def key_of(folded: Column) -> Column:
+        words = F.array_join(_key_words(folded), " ")
+        key = F.concat_ws("|", F.nullif(words, F.lit("")), extract_volume_ml(folded).cast("string"))
+        return bind(key, lambda k: F.when(k == "", F.trim(folded)).otherwise(k))
+
+    return bind(ascii_fold(c), key_of)
 
 
 def canonical_name(c: Column) -> Column:
     """Display form: capitalised meaningful words and volume."""
-    folded = ascii_fold(c)
-    words = F.array_join(F.transform(_key_words(folded), F.initcap), " ")
-    volume = extract_volume_ml(folded)
-    return F.concat_ws(
-        " ",
-        F.when(words == "", F.trim(c)).otherwise(words),
-        F.when(volume.isNotNull(), F.concat(volume.cast("string"), F.lit(" ml"))),
-    )
+
+    def name_of(folded: Column) -> Column:
+        words = F.array_join(F.transform(_key_words(folded), F.initcap), " ")
+        volume = bind(
+            extract_volume_ml(folded),
+            lambda v: F.when(v.isNotNull(), F.concat(v.cast("string"), F.lit(" ml"))),
+        )
+        return F.concat_ws(" ", F.coalesce(F.nullif(words, F.lit("")), F.trim(c)), volume)
+
+    return bind(ascii_fold(c), name_of)
 
 
 def search_normalize(c: Column) -> Column:
     text = F.concat(F.lit(" "), _loose_marks(ascii_fold(F.coalesce(c, F.lit("")))), F.lit(" "))
-    text = _replace_phrases(text, W.SEARCH_PHRASE_ALIASES)
+    text = _unify_phrases(text, W.SEARCH_PHRASE_ALIASES)
     words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))
     return F.array_join(F.filter(words, lambda word: ~word.isin(*W.SEARCH_STOP_WORDS)), " ")
 
@@ -249,12 +306,20 @@ def usable_payload(body: Column) -> Column:
 def name_from_url(url: Column) -> Column:
     """Words of the last path segment below a product folder; empty if under three."""
     path = F.url_decode(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1))
+
+    def from_parts(parts: Column) -> Column:
+        folder = F.lower(F.try_element_at(parts, F.lit(-2)))
+        slug = F.translate(F.trim(F.try_element_at(parts, F.lit(-1))), "_", "-")
+        return F.when(
+            folder.isin("product", "producto", "tienda"),
+            bind(
+                F.filter(F.split(slug, "-"), lambda word: F.trim(word) != ""),
+                lambda words: F.when(F.size(words) >= 3, normalize_spaces(F.array_join(words, " "))),
+            ),
+        )
+
     parts = F.filter(F.split(path, "/"), lambda part: part != "")
-    folder = F.lower(F.try_element_at(parts, F.lit(-2)))
-    slug = F.translate(F.trim(F.try_element_at(parts, F.lit(-1))), "_", "-")
-    words = F.filter(F.split(slug, "-"), lambda word: F.trim(word) != "")
-    usable = (F.size(parts) >= 2) & folder.isin("product", "producto", "tienda") & (F.size(words) >= 3)
-    return F.when(usable, normalize_spaces(F.array_join(words, " "))).otherwise(F.lit(""))
+    return F.coalesce(bind(parts, from_parts), F.lit(""))
 
 
 def clean_title(c: Column) -> Column:
@@ -270,24 +335,31 @@ def _title_words(c: Column) -> Column:
 
 def is_contaminated_title(title: Column, url_name: Column) -> Column:
     """Title that carries a neighbouring product's text around the slug's own words."""
-    words, slug = _title_words(title), _title_words(url_name)
-    slug_set = F.array_distinct(slug)
-    overlap = F.size(F.array_intersect(slug_set, words)) / F.greatest(F.size(slug_set), F.lit(1))
-    nouns = F.size(F.filter(words, lambda word: word.isin(*W.PRODUCT_NOUNS)))
     volumes = F.regexp_count(
         title, F.lit(r"(?i)(?<!\d)\d+(?:[.,]\d+)?\s*(?:ml|cc|cl|l|lt|lts)\b")
     )
     leading = title.rlike(r"(?i)^\s*\d+\s+(?:vinos?|botellas?|un(?:idades?)?)\b")
-    return (
-        (F.size(slug) >= 3)
-        & (overlap >= 0.72)
-        & (F.size(words) - F.size(slug) >= 3)
-        & ((nouns >= 2) | (volumes >= 2) | leading)
+
+    def test(words: Column, slug: Column) -> Column:
+        slug_set = F.array_distinct(slug)
+        overlap = F.size(F.array_intersect(slug_set, words)) / F.size(slug_set)
+        nouns = F.size(F.filter(words, lambda word: word.isin(*W.PRODUCT_NOUNS)))
+        return F.when(
+            (F.size(slug) >= 3) & (F.size(words) - F.size(slug) >= 3),
+            (overlap >= 0.72) & ((nouns >= 2) | (volumes >= 2) | leading),
+        ).otherwise(F.lit(False))
+
+    return bind(
+        F.struct(_title_words(title).alias("t"), _title_words(url_name).alias("u")),
+        lambda pair: test(pair["t"], pair["u"]),
     )
 
 
 def safe_name(title: Column, url: Column) -> Column:
-    visible, url_name = clean_title(title), clean_title(name_from_url(url))
-    return F.when(
-        (url_name != "") & is_contaminated_title(visible, url_name), url_name
-    ).otherwise(F.coalesce(F.nullif(visible, F.lit("")), url_name))
+    """The title, or the slug's name where the title is polluted or empty."""
+    return bind(
+        F.struct(clean_title(title).alias("t"), clean_title(name_from_url(url)).alias("u")),
+        lambda pair: F.when(
+            (pair["u"] != "") & is_contaminated_title(pair["t"], pair["u"]), pair["u"]
+        ).otherwise(F.coalesce(F.nullif(pair["t"], F.lit("")), pair["u"])),
+    )
