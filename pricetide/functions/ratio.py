@@ -31,3 +31,4 @@ def levenshtein_ratio(left: Column, right: Column) -> Column:
 
 
 SIMILARITIES = {"sequence": sequence_ratio, "levenshtein": levenshtein_ratio}
+JVM_SIMILARITIES = (levenshtein_ratio,)
