@@ -179,7 +179,7 @@ def canonical_fingerprint(t):
   select listing_id, q.normalized, array_to_string(list_distinct_ordered, ' ') as tokens, query_volume_ml, query_pack, query_brand
   from (select s.listing_id, norm as normalized,
       list_filter(string_split(norm, ' '), lambda w, i: w <> '' and list_position(string_split(norm, ' '), w) = i) as list_distinct_ordered,
-      coalesce(volume_ml, list_filter(list_transform(regexp_extract_all(norm, '(?:^|[^0-9])([0-9]{{2,4}})(?:[^0-9]|$)', 1), lambda x: x::int), lambda x: x between 50 and 5000)[-1]) as query_volume_ml,
+      coalesce(volume_ml, list_filter(list_transform(regexp_extract_all(replace(norm, ' ', '  '), '(?:^|[^0-9])([0-9]{{2,4}})(?:[^0-9]|$)', 1), lambda x: x::int), lambda x: x between 50 and 5000)[-1]) as query_volume_ml,
       pack_count as query_pack, brand as query_brand
     from (select *, {D.search_norm('source_name')} as norm from v_sig_names) s) q""")
 def parse_search_query(t):
