@@ -378,23 +378,43 @@ class MatchPlan:
         return totals.join(ambiguous, F.lit(True))
 
 
+# Names of up to this many different words are counted by subsets.
+SUBSET_WORDS = 12
+
+
 def candidate_pair_count(signed_listings: DataFrame) -> DataFrame:
-    """How many pairs share a volume and at least one word: an optional counter.
+    """How many pairs of shops' listings share a volume and at least one word.
 
-    Counts pairs of profiles weighted by copies through inclusion of the first
-    shared word, without listing the pairs of copies.
+    An optional counter, computed without forming the pairs: by inclusion and
+    exclusion over the word subsets of each name, where a subset contributes the
+    cross-shop pairs of all listings that contain it. The few names with more
+    words than that covers are joined to the rest by their first shared word.
     """
-    profs = profiles(signed_listings).select("profile_id", "store_id", "copies", F.col("sig.volume_ml").alias("volume_ml"),
-                                             F.array_sort(F.array_distinct("sig.core_tokens")).alias("words"))
+    words = F.array_sort(F.array_distinct("sig.core_tokens"))
+    profs = profiles(signed_listings).select(
+        "profile_id", "store_id", "copies", F.col("sig.volume_ml").alias("volume_ml"), words.alias("words"))
+    short, long = F.size("words") <= SUBSET_WORDS, F.size("words") > SUBSET_WORDS
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("words")).cast("int") - 1)
+    numbered = profs.where(short).select(
+        "volume_ml", "store_id", "copies", "words",
+        F.explode(masks).alias("mask"))
+    chosen = F.filter("words", lambda w, at: F.call_function("getbit", F.col("mask"), at) == 1)
+    subsets = numbered.select(
+        "volume_ml", "store_id", "copies", F.array_join(chosen, " ").alias("subset"),
+        F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1).alias("sign"))
+    per_store = subsets.groupBy("volume_ml", "subset", "sign", "store_id").agg(F.sum("copies").cast("decimal(38,0)").alias("c"))
+    per_subset = per_store.groupBy("volume_ml", "subset", "sign").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    counted = per_subset.select((F.col("sign") * (F.col("s") * F.col("s") - F.col("q")) / 2).cast("bigint").alias("n"))
+
     index = profs.select("*", F.posexplode("words").alias("pos", "word"))
-    a, b = index.alias("a"), index.alias("b")
-    first_shared = F.array_min(F.array_intersect("a.words", "b.words"))
+    a, b = index.where(long).alias("a"), index.alias("b")
+    once = (F.size("b.words") <= SUBSET_WORDS) | (F.col("a.profile_id") < F.col("b.profile_id"))
     met = a.join(
         b,
-        (F.col("a.volume_ml") == F.col("b.volume_ml")) & (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.store_id") < F.col("b.store_id")) & (F.col("a.word") == first_shared),
-    )
-    return met.agg(F.coalesce(F.sum(F.col("a.copies") * F.col("b.copies")), F.lit(0)).alias("candidate_pairs"))
+        (F.col("a.volume_ml") == F.col("b.volume_ml")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.store_id") != F.col("b.store_id"))
+        & once & (F.col("a.word") == F.array_min(F.array_intersect("a.words", "b.words"))))
+    joined = met.select((F.col("a.copies") * F.col("b.copies")).alias("n"))
+    return counted.unionByName(joined).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_pairs"))
 
 
 def _spanning_edges(members: DataFrame, pairs: DataFrame) -> DataFrame:

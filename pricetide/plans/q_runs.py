@@ -225,9 +225,11 @@ _NEW_QUOTE = "select listing_id, case when obs_id % 3 = 0 then 'MEMBER' else pri
   from v_quotes o full join ({_NEW_QUOTE}) n using (listing_id, price_type, audience_key)""")
 def upsert_quotes(t):
     kind = F.when(F.col("obs_id") % 3 == 0, "member ").otherwise(F.lower("price_type"))
-    rows = t.v_obs.where("listing_id % 4 <> 0 and day(observed_at) >= 15")
+    audience = F.concat(F.lit(" "), F.upper("audience_key"))
+    rows = t.v_obs.where("listing_id % 4 <> 0 and day(observed_at) >= 15 and price > 0").groupBy("listing_id", kind.alias("price_type"), audience.alias("audience_key")).agg(
+        F.max_by(F.struct("obs_id", "price", "regular_price", "eligibility_required"), "obs_id").alias("q")).select("listing_id", "price_type", "audience_key", "q.*")
     quotes = rows.groupBy("listing_id").agg(F.max("price").alias("current_price"), F.max("regular_price").alias("regular_price"), F.transform(F.array_sort(F.collect_list(
-        F.struct("obs_id", "price", "regular_price", kind.alias("price_type"), F.concat(F.lit(" "), F.upper("audience_key")).alias("audience_key"), "eligibility_required"))), lambda q: q.dropFields("obs_id")).alias("price_quotes"))
+        F.struct("obs_id", "price", "regular_price", "price_type", "audience_key", "eligibility_required"))), lambda q: q.dropFields("obs_id")).alias("price_quotes"))
     return G.upsert_quotes(t.v_quotes, quotes, as_of()).select("listing_id", "price_type", "audience_key", "price", "is_active")
 
 

@@ -138,3 +138,13 @@ def test_components_against_union_find(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r["listing_id"]: r["component_id"] for r in M.connected_components(spark.createDataFrame(pairs, "left_id bigint, right_id bigint")).collect()}
     assert got == {v: find(v) for p in pairs for v in p if p[0] != p[1]}
+
+
+def test_pair_counter_with_long_names(spark):
+    random.seed(5)
+    words = [f"w{chr(97 + i)}" for i in range(18)]
+    rows = [(i, i % 3, i, " ".join(random.sample(words, k)) + " 750 ml", None, None) for i, k in enumerate([2, 3, 1, 4, 14, 2, 15, 3, 5, 1, 13, 2, 16, 4, 14])]
+    signed = M.signed(listings(spark, rows))
+    sigs = [(r["store_id"], set(r["sig"]["core_tokens"])) for r in signed.collect()]
+    want = sum(1 for (s, x), (t, y) in combinations(sigs, 2) if s != t and x & y)
+    assert M.candidate_pair_count(signed).first()["candidate_pairs"] == want
