@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricetide.functions import scoring as K
-from pricetide.functions.signature import signature
 from pricetide.operators import comparison as C
 from pricetide.operators import opportunity as O
 from pricetide.operators import personal as R
 from pricetide.session import materialize
 
 from .q_history import as_of, context_stats, master_stats, recent_runs
-from .q_matching import _PAIR_FACTS, conflict, score
+from .q_matching import _PAIR_FACTS, score
 from .registry import ORACLE_VIEWS, query
 from .views import AS_OF
 
