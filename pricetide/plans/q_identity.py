@@ -26,7 +26,16 @@ class Pass:
         self.assigned = I.assign_masters(self.components, self.edges, self.plan.signed)
 
 
-@query("assign_masters", "R6")
+ORACLE_VIEWS["v_assigned"] = """
+  with ends as (select left_id as listing_id, * from v_all_edges union all select right_id, * from v_all_edges),
+  best as (select * from ends qualify row_number() over (partition by listing_id order by confidence desc, left_id desc, right_id desc) = 1),
+  t as (select component_id, min(master_id) as target from v_components join v_catalog using (listing_id) group by 1)
+  select listing_id, component_id, c.master_id as old_master_id, target as master_id, confidence, method as matching_method,
+    case when method = 'manual_equivalence' then 'manual' else 'automatic' end as review_status, c.master_id <> target as relinked
+  from v_components join t using (component_id) join v_catalog c using (listing_id) join best using (listing_id)"""
+
+
+@query("assign_masters", "R6", "select * from v_assigned")
 def assign_masters(t):
     return Pass(t).assigned.drop("evidence")
 
@@ -37,7 +46,11 @@ def master_updates(t):
     return I.master_updates(p.assigned, p.components, p.edges, p.plan.signed)
 
 
-@query("reconcile_summary", "R6")
+@query("reconcile_summary", "R6", """select (select count(*) from v_all_edges) as matched_pairs,
+    (select count(*) from v_all_edges where method in ('alias_exact', 'ean_exact', 'sku_secondary_verified', 'manual_equivalence')) as exact_matches,
+    (select count(*) from v_all_edges where method = 'fuzzy_brand_variant_volume') as fuzzy_matches, (select count(*) from v_assigned where relinked) as products_relinked,
+    (select count(distinct old_master_id) from v_assigned where relinked and old_master_id not in (
+      select coalesce(a.master_id, c.master_id) from v_catalog c left join v_assigned a using (listing_id))) as masters_merged""")
 def reconcile_summary(t):
     p = Pass(t)
     assigned = materialize(p.assigned)

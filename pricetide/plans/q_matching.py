@@ -222,6 +222,6 @@ ORACLE_VIEWS["v_components"] = """
   select id as listing_id, min(root) as component_id from walk group by 1"""
 
 
-@query("connected_components", "R5")
+@query("connected_components", "R5", "select * from v_components")
 def connected_components(t):
     return M.connected_components(M.augment_candidates(plan(t), rules(t)))
