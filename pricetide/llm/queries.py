@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import byte_bpe, chat_prefixes, license_notices, url_vocabulary, warc_segments  # noqa: F401
+from . import byte_bpe, chat_prefixes, license_notices, line_frequency, url_vocabulary, warc_segments  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
