@@ -45,7 +45,7 @@ def line_hash(line: Column) -> Column:
 
 
 def _base(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, host, text, ...) with counts, host and document key, and the hashes of their lines."""
+    """Rows (doc_id, host, text, ...) with counts, host and document key, and hash and words of each line: the text itself need not go on."""
     rows = documents.withColumn("words", words_of(F.coalesce("text", F.lit("")))).withColumn("lines", lines_of(F.coalesce("text", F.lit(""))))
     n = F.size("words")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
@@ -62,8 +62,9 @@ def _base(documents: DataFrame) -> DataFrame:
         "n_symbols": F.coalesce(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, "")), F.lit(0)).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("repeated").isNull(), 0).otherwise(marked).cast("long"),
+        "marks": F.transform("lines", lambda line: F.struct(line_hash(line).alias("line"), F.size(words_of(line)).alias("n"))),
         "key": F.md5(F.concat_ws("\n", F.when(F.col("host").isNull(), "n").otherwise(F.concat(F.lit("h"), F.col("host"))), F.col("text"))),
-    }).drop("words", "windows", "sorted", "repeated")
+    }).drop("words", "lines", "windows", "sorted", "repeated")
 
 
 def frequent_lines(documents: DataFrame, max_documents: int, max_share: float) -> DataFrame:
@@ -80,13 +81,14 @@ def frequent_lines(documents: DataFrame, max_documents: int, max_share: float) -
 
 
 def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, extra: list[str], max_documents: int, max_share: float, min_left: float) -> DataFrame:
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), *(F.struct(*map(F.col, extra)).alias("carried") for _ in extra[:1]))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), *(F.struct(*(F.col(f"`{c}`") for c in extra)).alias("carried") for _ in extra[:1]))
     found = frequent_lines(rows.select("host", "text"), max_documents, max_share)
     rows = _base(rows).join(found, "key", "left")
-    gone = F.coalesce(F.aggregate(F.filter("lines", lambda line: F.array_contains("removed", line_hash(line))), F.lit(0), lambda a, line: a + F.size(words_of(line))), F.lit(0)).cast("long")
+    gone = F.coalesce(F.aggregate(F.filter("marks", lambda mark: F.array_contains("removed", mark["line"])), F.lit(0), lambda a, mark: a + mark["n"]), F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("n_removed_words", F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(gone)).withColumn("base_failed", failed)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
+    # One condition that needs both join sides: as two, the first would be pushed below and repeat the work on windows.
+    return rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
 
 
 def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -99,12 +101,11 @@ def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def filter_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars",
                      max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The kept documents with all their columns, the lines above the limits taken out of the text and its length put right."""
-    rows = _judged(documents, id_col, text_col, host_col, documents.columns, max_documents, max_share, min_left).where("kept")
+    rows = _judged(documents, id_col, text_col, host_col, [c for c in documents.columns if c != text_col], max_documents, max_share, min_left).where("kept")
     clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n", -1), lambda line: ~F.coalesce(F.array_contains("removed", line_hash(line)) & line.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))), "\n"))
     kinds = dict(documents.dtypes)
-    out = {c: F.col(f"carried.`{c}`") for c in documents.columns}
-    out[text_col] = F.col("clean")
+    out = {c: F.col("clean") if c == text_col else F.col(f"carried.`{c}`") for c in documents.columns}
     if chars_col in out:
         out[chars_col] = F.when(F.col("removed").isNull(), out[chars_col]).otherwise(F.length("clean").cast(kinds[chars_col]))
     return rows.withColumn("clean", clean).select(*(c.alias(name) for name, c in out.items()))
