@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.money import format_money
 from pricetide.functions.urls import UrlRules
 from pricetide.session import ensure_checkpoint_dir
-from pricetide.sources import feeds, html, pages, sinks
+from pricetide.sources import feeds, html, json_products, pages, sinks
 
 from .registry import ORACLE_VIEWS, query
 
@@ -203,7 +203,7 @@ def extract_json_ld(t):
                     F.lit('.00"/><meta content="'), F.col("regular_price").cast("string"), F.lit('" itemprop="price"/>'))
     built = offers(t).select(F.lit("shop").alias("store"), F.concat(F.lit("https://shop.example.com/producto/item-"), i.cast("string")).alias("url"),
                              F.concat(F.lit("<html><head>"), F.when(i % 3 == 2, meta).otherwise(script), F.lit("</head><body>$1</body></html>")).alias("body"))
-    return html.extract_json_ld(built, HOST).select("name", "url", "current_price", "regular_price")
+    return json_products.extract_json_ld(built, HOST).select("name", "url", "current_price", "regular_price")
 
 
 @query("extract_nested_products", "S8", """select 'Item K' || part_id as name, 'https://shop.example.com/producto/k' || listing_id as url, price as current_price, case when regular_price > price then regular_price end as regular_price from v_offer_rows""")
@@ -212,7 +212,7 @@ def extract_nested_products(t):
     item = F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), F.concat(F.lit("k"), i.cast("string")).alias("slug"), F.col("price").alias("salePrice"), (F.col("price") + 1).alias("price"),
                     F.struct(format_money(F.col("regular_price")).alias("amount")).alias("listPrice"), F.lit("x").alias("other"))
     got = bodies(offers(t), F.struct(F.array(item).alias("cells")), lambda rows: F.struct(F.struct(rows.alias("list")).alias("data")))
-    return html.extract_nested_products(got, rules=HOST).select("name", "url", "current_price", "regular_price")
+    return json_products.extract_nested_products(got, rules=HOST).select("name", "url", "current_price", "regular_price")
 
 
 @query("extract_sitemap", "S11", """select distinct 'urlset' as kind, 'https://shop.example.com/product/' || regexp_extract(url, '/product/([^/?#]+)', 1) as url from v_names

@@ -1,4 +1,4 @@
-"""Product cards out of HTML, and products out of nested JSON.
+"""Product cards out of HTML.
 
 Walking a tree is the one thing Spark has no expression for, so these readers
 run a small parser per page inside ``mapInPandas``. Pages are independent rows;
@@ -7,7 +7,6 @@ everything before and after the walk stays in the plan.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,11 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.money import PRICE_HIGH, PRICE_LOW, UNIT_PRICE_PATTERNS, discount_pct, price_values
-from pricetide.functions.text import ascii_fold, normalize_spaces
+from pricetide.functions.text import ascii_fold
 from pricetide.functions.urls import UrlRules, canonical_url
 
-from .pages import page_text
-
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style"))
 
@@ -36,9 +33,17 @@ class Node:
         self.tag, self.attrs, self.parent, self.children, self._text = tag, attrs, parent, [], None
 
     def text(self) -> str:
-        if self._text is None:
-            parts = [c if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.tag not in _SILENT]
-            self._text = " ".join(" ".join(parts).replace("\xa0", " ").split())
+        """Visible text; texts below are made first, by a stack, however deep the page is."""
+        waiting = [self]
+        while self._text is None:
+            node = waiting[-1]
+            open_ = [c for c in node.children if not isinstance(c, str) and c.tag not in _SILENT and c._text is None]
+            if open_:
+                waiting += open_
+                continue
+            parts = [c if isinstance(c, str) else c._text for c in node.children if isinstance(c, str) or c.tag not in _SILENT]
+            node._text = " ".join(" ".join(parts).replace("\xa0", " ").split())
+            waiting.pop()
         return self._text
 
     def walk(self) -> Iterator["Node"]:
@@ -244,163 +249,5 @@ def extract_cards(pages: DataFrame, profile: CardProfile, rules: UrlRules = UrlR
         highest = F.array_max("amounts")
         regular = F.when(highest > current, highest) if profile.price_rule == "min_max" else F.lit(None).cast("bigint")
     return priced.withColumns({"current_price": current, "regular_price": regular}).select(
-        "store", "page_url", "seq", F.left("name", F.lit(500)).alias("name"), canonical_url(F.col("href"), rules).alias("url"), "current_price", "regular_price",
+        "store", "page_url", "seq", "name", canonical_url(F.col("href"), rules).alias("url"), "current_price", "regular_price",
         discount_pct(F.col("regular_price"), F.col("current_price")).alias("discount_pct"), "sku")
-
-
-# Keys under which shops keep names, addresses and prices.
-NAME_KEYS = ("name", "title", "productName", "product_name", "displayName")
-URL_KEYS = ("url", "href", "permalink", "productUrl", "product_url", "path")
-SLUG_KEYS = ("slug", "handle", "seoSlug", "urlKey")
-CURRENT_KEYS = ("salePrice", "sale_price", "currentPrice", "current_price", "sellingPrice", "selling_price", "finalPrice", "final_price", "bestPrice", "best_price", "price", "amount")
-REGULAR_KEYS = ("regularPrice", "regular_price", "listPrice", "list_price", "referencePrice", "reference_price", "compareAtPrice", "compare_at_price", "originalPrice", "original_price")
-_MONEY_KEYS = ("amount", "value", "price", "centAmount")
-_PRODUCT_SCHEMA = "store string, seq int, name string, href string, current_price bigint, regular_price bigint"
-
-
-def _bounded(value: int) -> int | None:
-    return value if PRICE_LOW <= value <= PRICE_HIGH else None
-
-
-def _amount(value, structured: bool = False) -> int | None:
-    """A price however it is written; ``structured`` reads ``,00`` as a fraction."""
-    if value is None or isinstance(value, (bool, list)):
-        return None
-    if isinstance(value, dict):
-        return None if structured else next((a for a in (_amount(value[k]) for k in _MONEY_KEYS if k in value) if a is not None), None)
-    if isinstance(value, (int, float)):
-        return _bounded(round(float(value)))
-    text = str(value).replace("$", "").replace("CLP", "").strip()
-    if structured and re.fullmatch(r"\d+[,.]00", text):
-        text = text[:-3]
-    digits = re.sub(r"\D", "", text)
-    return _bounded(int(digits)) if digits else None
-
-
-def _first(item: dict, keys: tuple[str, ...]):
-    return next((item[k] for k in keys if item.get(k) not in (None, "")), None)
-
-
-def _inner(value, *keys: str):
-    return next((value[k] for k in keys if value.get(k)), None) if isinstance(value, dict) else value
-
-
-def _walk(node, max_depth: int) -> Iterator[dict]:
-    """Every object of a JSON document, outer before inner, in order."""
-    stack = [(node, 0)]
-    while stack:
-        here, depth = stack.pop()
-        if depth > max_depth:
-            continue
-        if isinstance(here, dict):
-            yield here
-            inner = list(here.values())
-        else:
-            inner = here if isinstance(here, list) else ()
-        stack.extend((child, depth + 1) for child in reversed(inner))
-
-
-def _as_product(item: dict, product_path: str) -> tuple | None:
-    name = " ".join(str(_inner(_first(item, NAME_KEYS), "rendered", "value") or "").replace("\xa0", " ").split())
-    href = _inner(_first(item, URL_KEYS), "url", "href")
-    slug = _first(item, SLUG_KEYS)
-    href = href or (f"{product_path}{str(slug).strip('/')}" if slug else None)
-    if len(name) < 3 or not href or product_path not in str(href):
-        return None
-    nested = item.get("prices") if isinstance(item.get("prices"), dict) else {}
-    current = [a for a in (_amount(item[k]) for k in CURRENT_KEYS if k in item) if a is not None] or [a for a in [_amount(_first(nested, CURRENT_KEYS))] if a is not None]
-    if not current:
-        return None
-    regular = [a for a in (_amount(item[k]) for k in REGULAR_KEYS if k in item) if a is not None] or [a for a in [_amount(_first(nested, REGULAR_KEYS))] if a is not None]
-    return name[:500], str(href), min(current), max((a for a in regular if a > min(current)), default=None) if regular and max(regular) > min(current) else None
-
-
-def _load(text: str):
-    try:
-        return json.loads(text)
-    except (TypeError, ValueError):
-        return None
-
-
-def _finish(found: DataFrame, rules: UrlRules) -> DataFrame:
-    return found.select(
-        "store", "seq", "name", canonical_url(F.col("href"), rules).alias("url"), "current_price", "regular_price",
-        discount_pct(F.col("regular_price"), F.col("current_price")).alias("discount_pct"))
-
-
-def extract_nested_products(payloads: DataFrame, max_depth: int = 16, product_path: str = "/producto/", rules: UrlRules = UrlRules()) -> DataFrame:
-    """Anything that looks like a product, at any depth of a JSON body."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for store, body in zip(batch["store"], batch["body"]):
-                hits = (_as_product(item, product_path) for item in _walk(_load(body), max_depth))
-                rows += [(store, seq, *hit) for seq, hit in enumerate(h for h in hits if h)]
-            frame = pd.DataFrame(rows, columns=["store", "seq", "name", "href", "current_price", "regular_price"])
-            yield frame.astype({"current_price": "Int64", "regular_price": "Int64"})
-
-    return _finish(payloads.select("store", "body").mapInPandas(read, _PRODUCT_SCHEMA), rules)
-
-
-def _offer_prices(offers) -> tuple[int | None, int | None]:
-    """Lowest current and highest larger price over the offers of a JSON-LD product."""
-    current, regular = [], []
-    for offer in offers if isinstance(offers, list) else [offers]:
-        if not isinstance(offer, dict):
-            continue
-        current += [_amount(offer.get(k), True) for k in ("price", "lowPrice", "salePrice")]
-        regular += [_amount(offer.get(k), True) for k in ("highPrice", "regularPrice", "listPrice")]
-        specs = offer.get("priceSpecification")
-        for spec in specs if isinstance(specs, list) else [specs]:
-            if isinstance(spec, dict):
-                kind = str(spec.get("priceType") or spec.get("@type") or "").casefold()
-                listed = any(word in kind for word in ("list", "regular", "strikethrough"))
-                (regular if listed else current).append(_amount(spec.get("price"), True))
-    current = [a for a in current if a is not None]
-    if not current:
-        return None, None
-    low = min(current)
-    return low, max((a for a in regular + current if a is not None and a > low), default=None)
-
-
-def _is_product(item: dict) -> bool:
-    kinds = item.get("@type")
-    return any(str(k).casefold() == "product" for k in (kinds if isinstance(kinds, list) else [kinds]) if k)
-
-
-def extract_json_ld(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
-    """One listing per product page: JSON-LD, else meta prices, else prices in the text."""
-    attribute = r"(?is)<meta\b(?=[^>]*(?:property|name|itemprop)=[\"'](?:{0})[\"'])[^>]*content=[\"']([^\"']*)[\"']"
-    scripts = F.regexp_extract_all("body", F.lit(r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    meta = F.regexp_extract_all("body", F.lit(attribute.format("product:price:amount|og:price:amount|price")), F.lit(1))
-    prepared = pages.select(
-        "store", "url", scripts.alias("scripts"), F.regexp_extract("body", attribute.format("og:title|twitter:title"), 1).alias("title"),
-        meta.alias("meta"), price_values(page_text(F.col("body"))).alias("amounts"))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                hit = None
-                for item in (i for s in row.scripts for i in _walk(_load(s), 64) if _is_product(i)):
-                    low, high = _offer_prices(item.get("offers"))
-                    if low is not None:
-                        hit = (str(item.get("name") or ""), str(item.get("url") or row.url), low, high)
-                        break
-                if hit is None:
-                    amounts = [a for a in (_amount(m, True) for m in row.meta) if a is not None] or [int(a) for a in row.amounts]
-                    if amounts:
-                        high = max(amounts)
-                        hit = (row.title, row.url, min(amounts), high if high > min(amounts) else None)
-                if hit is not None:
-                    rows.append((row.store, 0, *hit, row.url))
-            frame = pd.DataFrame(rows, columns=["store", "seq", "name", "href", "current_price", "regular_price", "page_url"])
-            yield frame.astype({"current_price": "Int64", "regular_price": "Int64"})
-
-    found = prepared.mapInPandas(read, _PRODUCT_SCHEMA + ", page_url string")
-    slug = F.regexp_replace(F.url_decode(F.regexp_extract("page_url", r"([^/?#]+)/?(?:[?#].*)?$", 1)), r"^\d+-", "")
-    from_slug = F.initcap(normalize_spaces(F.translate(slug, "+-", "  ")))
-    name = normalize_spaces(F.col("name"))
-    named = found.withColumn("name", F.when(ascii_fold(name).isin("", "undefined", "producto"), from_slug).otherwise(name)).where("length(name) >= 3")
-    return _finish(named.withColumn("name", F.left("name", F.lit(500))), rules)
