@@ -38,8 +38,9 @@ SINGLE_WORDS, BANDS = 192, 62
 END_CLASS, RARE_CLASS, START = 0, 1, 256
 CLASSES = 256
 DIMENSIONS = 16
-ROUNDS, PARTS, BATCH, NOISE, RATE = 4, 8, 4096, 64, 0.1
+ROUNDS, PARTS, BATCH, NOISE, RATE, INITIAL = 4, 8, 512, 32, 0.15, 0.1
 END = np.int64(0x5E2D58D8B3BCDEE8)
+FIRST = 0.01
 _SLOTS = 22
 
 
@@ -169,7 +170,7 @@ class Model:
     @staticmethod
     def fresh(share: np.ndarray, seed: int = 5) -> Model:
         draw = np.random.default_rng(seed)
-        small = lambda n: draw.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
+        small = lambda n: draw.normal(0, INITIAL, (n, DIMENSIONS)).astype(np.float32)
         return Model(small(257), small(257), small(CLASSES), np.log(share).astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
@@ -190,7 +191,7 @@ def contrast(model: Model, keys: np.ndarray, counts: np.ndarray, share: np.ndarr
     draw = np.random.default_rng(seed)
     k = 8.0
     tables = [x.astype(np.float32).copy() for x in model.arrays()]
-    squares = [np.full(x.shape, 0.1, dtype=np.float32) for x in tables]
+    squares = [np.full(x.shape, FIRST, dtype=np.float32) for x in tables]
     log_noise = np.log(k * share).astype(np.float32)
     order = draw.permutation(len(keys))
     mean = counts.mean() * BATCH if len(counts) else 1.0
@@ -200,9 +201,11 @@ def contrast(model: Model, keys: np.ndarray, counts: np.ndarray, share: np.ndarr
         tables[i][at] -= RATE * step / np.sqrt(squares[i][at])
 
     def summed(rows: np.ndarray, size: int, step: np.ndarray) -> np.ndarray:
-        """Sum of steps by row as a matrix product with the one-hot rows."""
+        """Sum of the steps of each row."""
+        order = np.argsort(rows, kind="stable")
+        found, first = np.unique(rows[order], return_index=True)
         total = np.zeros((size, step.shape[1]), dtype=np.float32)
-        np.add.at(total, rows, step)
+        total[found] = np.add.reduceat(step[order], first, axis=0)
         return total
 
     for a in range(0, len(order), BATCH):
@@ -308,7 +311,7 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     context = documents.sparkSession.sparkContext
     words = Vocabulary(top.column("word").to_numpy(), top.column("n").to_numpy().astype(np.float64), int(totals["n"] or 0), int(totals["v"]))
     vocabulary = context.broadcast(words)
-    share = np.maximum(words.mass / words.mass.sum(), 1e-9)
+    share = np.maximum(words.mass / max(words.mass.sum(), 1.0), 1e-9)
     trigrams = materialize(count_trigrams(training, vocabulary).repartition(PARTS, "key"))
     model = context.broadcast(train(trigrams, share / share.sum(), rounds))
 
