@@ -278,7 +278,7 @@ def classify_category(product_type: Column, tags: Column, title: Column) -> Colu
     for category, markers in W.CATEGORY_RULES:
         hit = _contains_any(haystack, [m for m in markers if m.isascii()])
         rule = F.when(hit, category) if rule is None else rule.when(hit, category)
-    named = F.nullif(F.left(normalize_spaces(product_type), F.lit(80)), F.lit(""))
+    named = F.nullif(normalize_spaces(product_type), F.lit(""))
     return rule.otherwise(F.coalesce(named, F.lit("Otros")))
 
 

@@ -23,7 +23,7 @@ def _bundle(rows: DataFrame, alert_type: str, prefix: str, fields: tuple[str, ..
         F.min_by("listing_id", "position").alias("listing_id"), F.min_by("current_price", "position").alias("price"),
     ).select(
         "store_id", "run_id", F.lit(alert_type).alias("alert_type"),
-        F.concat_ws(":", F.lit(prefix), "store_id", "run_id", F.left("payload_hash", F.lit(20))).alias("deduplication_key"),
+        F.concat_ws(":", F.lit(prefix), "store_id", "run_id", F.col("payload_hash")).alias("deduplication_key"),
         "payload_hash", F.concat(F.col("items").cast("string"), F.lit(f" {reason}")).alias("reason"), "items", "listing_id", "price")
 
 
@@ -63,7 +63,7 @@ def incidents(runs: DataFrame, last: DataFrame, as_of: Column, reminder_hours: i
     kind = F.when(bad & (turned | F.col("is_due")), "collector_incident").when(recovered, "collector_recovery")
     return checked.withColumn("alert_type", kind).where("alert_type is not null").select(
         "store_id", "run_id", "alert_type",
-        F.when(F.col("alert_type") == "collector_incident", F.concat_ws(":", F.lit("collector-incident"), "store_id", "run_id", F.left("fingerprint", F.lit(20))))
+        F.when(F.col("alert_type") == "collector_incident", F.concat_ws(":", F.lit("collector-incident"), "store_id", "run_id", F.col("fingerprint")))
         .otherwise(F.concat_ws(":", F.lit("collector-recovery"), "store_id", "run_id")).alias("deduplication_key"),
         F.col("fingerprint").alias("payload_hash"),
         F.concat_ws(" ", "alert_type", F.when(F.col("alert_type") == "collector_incident", F.col("health_status")).otherwise(F.col("previous_health_status"))).alias("reason"),
@@ -91,7 +91,7 @@ def store_alerts(
     parts.append(incidents(runs, last_incident, as_of))
     ranking = digest_due(ranking_fingerprint(changes, ranking_limit, keys), last_ranking, as_of, digest_hours).where("is_due")
     parts.append(ranking.select(
-        *keys, F.lit("ranking_digest").alias("alert_type"), F.concat_ws(":", F.lit("ranking-digest"), *keys, F.left("fingerprint", F.lit(20))).alias("deduplication_key"),
+        *keys, F.lit("ranking_digest").alias("alert_type"), F.concat_ws(":", F.lit("ranking-digest"), *keys, F.col("fingerprint")).alias("deduplication_key"),
         F.col("fingerprint").alias("payload_hash"), F.col("due_reason").alias("reason"), "items", F.lit(None).cast("bigint").alias("listing_id"), F.lit(None).cast("bigint").alias("price")))
     alerts = parts[0]
     for part in parts[1:]:
@@ -140,11 +140,11 @@ def comparison_alerts(comparison: DataFrame, last_digest: DataFrame, as_of: Colu
     winners = ranked.agg(
         payload_hash("rank", "master_id", "previous_winner_store_id", "winner_store_id", "winner_price").alias("payload_hash"), F.count("*").alias("items"),
         F.min_by("winner_listing_id", "rank").alias("listing_id"), F.min_by("winner_price", "rank").alias("price")).where("items > 0").select(
-        F.lit("cross_store_winner_change").alias("alert_type"), F.concat_ws(":", F.lit("cross-store-winner"), F.lit(run_key), F.left("payload_hash", F.lit(20))).alias("deduplication_key"),
+        F.lit("cross_store_winner_change").alias("alert_type"), F.concat_ws(":", F.lit("cross-store-winner"), F.lit(run_key), F.col("payload_hash")).alias("deduplication_key"),
         "payload_hash", F.lit("winner_change").alias("reason"), "items", "listing_id", "price")
     current = comparison_fingerprint(comparison, limit).withColumn("alert_type", F.lit("cross_store_digest"))
     digest = digest_due(current, last_digest, as_of, digest_hours, ("alert_type",)).where("is_due").select(
-        "alert_type", F.concat_ws(":", F.lit("cross-store-digest"), F.lit(run_key), F.left("fingerprint", F.lit(20))).alias("deduplication_key"),
+        "alert_type", F.concat_ws(":", F.lit("cross-store-digest"), F.lit(run_key), F.col("fingerprint")).alias("deduplication_key"),
         F.col("fingerprint").alias("payload_hash"), F.col("due_reason").alias("reason"), "items", "listing_id", "price")
     return winners.unionByName(digest)
 
@@ -157,9 +157,9 @@ def member_price_alerts(drops: DataFrame, listings: DataFrame, stores: DataFrame
     print_key = F.sha2(F.concat_ws(":", "listing_id", "audience_key", "previous_price", "current_price"), 256)
     return (
         drops.where(size).join(offered, "listing_id").orderBy(F.desc("drop_pct"), F.desc("saving"), F.lower("name"), "listing_id")
-        .limit(max(1, min(limit, 30))).withColumn("payload_hash", print_key)
+        .limit(max(1, limit)).withColumn("payload_hash", print_key)
         .select("listing_id", "store_id", F.lit("personal_member_price_drop").alias("alert_type"),
-                F.concat(F.lit("personal-member-drop:"), F.left("payload_hash", F.lit(32))).alias("deduplication_key"),
+                F.concat(F.lit("personal-member-drop:"), F.col("payload_hash")).alias("deduplication_key"),
                 "payload_hash", F.col("current_price").alias("price"), "previous_price", "saving", "drop_pct"))
 
 
@@ -170,15 +170,15 @@ def member_advantages(personal: DataFrame, listings: DataFrame, stores: DataFram
     return (
         personal.where((F.col("winner_price_type") == "MEMBER") & (F.col("personal_advantage") >= min_advantage))
         .join(shops, "winner_store_id", "left_semi").join(offered, "winner_listing_id", "left_semi")
-        .orderBy(F.desc("personal_advantage_pct"), F.desc("personal_advantage"), "master_id").limit(max(1, min(limit, 30))))
+        .orderBy(F.desc("personal_advantage_pct"), F.desc("personal_advantage"), "master_id").limit(max(1, limit)))
 
 
 def personal_store_ranking(member_changes: DataFrame, limit: int = 30) -> DataFrame:
     """Ranking alert of a members-only shop, once per run."""
-    ranked = ranking_fingerprint(member_changes, max(1, min(limit, 30)))
+    ranked = ranking_fingerprint(member_changes, max(1, limit))
     return ranked.select(
         "store_id", "run_id", F.lit("personal_store_ranking").alias("alert_type"),
-        F.concat_ws(":", F.lit("personal-store-ranking"), "store_id", "run_id", F.left("fingerprint", F.lit(20))).alias("deduplication_key"),
+        F.concat_ws(":", F.lit("personal-store-ranking"), "store_id", "run_id", F.col("fingerprint")).alias("deduplication_key"),
         F.col("fingerprint").alias("payload_hash"), "items")
 
 
@@ -196,7 +196,7 @@ def mark_alerts(log: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     return joined.select(
         *[c for c in log.columns if c not in ("status", "sent_at")],
         F.when(F.col("delivered"), "sent").when(~F.col("delivered"), "failed").otherwise(F.col("status")).alias("status"),
-        F.when(F.col("delivered"), as_of).otherwise(F.col("sent_at")).alias("sent_at"), F.left("error", F.lit(2000)).alias("error_message"))
+        F.when(F.col("delivered"), as_of).otherwise(F.col("sent_at")).alias("sent_at"), F.col("error").alias("error_message"))
 
 
 def failure_alerts(failures: DataFrame, last: DataFrame, as_of: Column, repeat_hours: int = 24) -> DataFrame:
@@ -208,5 +208,5 @@ def failure_alerts(failures: DataFrame, last: DataFrame, as_of: Column, repeat_h
     recent = last.where(F.unix_micros(as_of) - F.unix_micros("sent_at") < repeat_hours * 3_600_000_000).select("store_id", "payload_hash")
     return hashed.join(recent, ["store_id", "payload_hash"], "left_anti").select(
         "store_id", "run_id", F.lit("collector_failure").alias("alert_type"),
-        F.concat_ws(":", F.lit("collector-failure"), "store_id", "run_id", F.left("payload_hash", F.lit(20))).alias("deduplication_key"), "payload_hash", "error")
+        F.concat_ws(":", F.lit("collector-failure"), "store_id", "run_id", F.col("payload_hash")).alias("deduplication_key"), "payload_hash", "error")
 

@@ -227,7 +227,7 @@ def variant_words(name_sig: Column, brand: Column) -> Column:
         return F.when(at > 0, cut).otherwise(tokens)
 
     kept = F.aggregate(F.coalesce(drop, F.array().cast("array<string>")), name_sig["core_tokens"], without)
-    return F.nullif(F.left(F.array_join(kept, " "), F.lit(255)), F.lit(""))
+    return F.nullif(F.array_join(kept, " "), F.lit(""))
 
 
 def refresh_search_catalog(masters: DataFrame, listings: DataFrame, stores: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def explode_quotes(batch: DataFrame) -> DataFrame:
     rows = batch.select("listing_id", F.posexplode(quotes).alias("pos", "q"))
     named = rows.select(
         "listing_id", "pos", "q.price", "q.regular_price",
-        F.left(F.upper(F.trim(F.coalesce(F.nullif("q.price_type", F.lit("")), F.lit("PUBLIC")))), F.lit(30)).alias("price_type"),
-        F.left(F.lower(F.trim(F.coalesce(F.nullif("q.audience_key", F.lit("")), F.lit("public")))), F.lit(80)).alias("audience_key"),
+        F.upper(F.trim(F.coalesce(F.nullif("q.price_type", F.lit("")), F.lit("PUBLIC")))).alias("price_type"),
+        F.lower(F.trim(F.coalesce(F.nullif("q.audience_key", F.lit("")), F.lit("public")))).alias("audience_key"),
         F.coalesce("q.eligibility_required", F.lit(False)).alias("eligibility_required"))
     return named.where("price > 0")
 

@@ -308,17 +308,20 @@ def reciprocal_best(scored: DataFrame, best: DataFrame) -> DataFrame:
 def review_pairs(scored: DataFrame, best: DataFrame, members: DataFrame, limit: int = REVIEW_LIMIT) -> DataFrame:
     """The ``limit`` most confident pairs to look at: near misses and ambiguous bests.
 
-    Copies of a profile tie on confidence and sort by id, so its ``limit`` lowest
-    ids hold every row the report can contain.
+    The one cut is at the end, by (confidence, least id, greatest id). Before it, only rows go that
+    ``limit`` others precede: near misses below the ``limit``-th best confidence, and of the copies of two profiles
+    the pair of ranks i and j if i * j is larger, as each pair of lower ranks comes first.
     """
     low = (
         members.withColumn("rank", F.row_number().over(Window.partitionBy("profile_id").orderBy("listing_id")))
-        .where(F.col("rank") <= limit).select("profile_id", "listing_id")
-    )
-    left = low.select(F.col("profile_id").alias("left_profile"), F.col("listing_id").alias("left_id"))
-    right = low.select(F.col("profile_id").alias("right_profile"), F.col("listing_id").alias("right_id"))
-    top_near = scored.where("not accepted").orderBy(F.desc("confidence"), "left_profile", "right_profile").limit(limit)
-    near = top_near.join(left, "left_profile").join(right, "right_profile").select(
+        .where(F.col("rank") <= limit).select("profile_id", "listing_id", F.col("rank").cast("bigint").alias("rank"))
+    )
+    left = low.select(F.col("profile_id").alias("left_profile"), F.col("listing_id").alias("left_id"), F.col("rank").alias("left_rank"))
+    right = low.select(F.col("profile_id").alias("right_profile"), F.col("listing_id").alias("right_id"), F.col("rank").alias("right_rank"))
+    misses = scored.where("not accepted").select("left_profile", "right_profile", "confidence")
+    floor = misses.orderBy(F.desc("confidence")).limit(limit).agg(F.min("confidence").alias("floor"))
+    top_near = misses.join(floor, F.col("confidence") >= F.col("floor"))
+    near = top_near.join(left, "left_profile").join(right, "right_profile").where(F.col("left_rank") * F.col("right_rank") <= limit).select(
         "left_id", "right_id", "confidence", F.lit("near_threshold").alias("method")
     )
     doubtful = best.where("ambiguous").select(
@@ -378,43 +381,20 @@ class MatchPlan:
         return totals.join(ambiguous, F.lit(True))
 
 
-# Names of up to this many different words are counted by subsets.
-SUBSET_WORDS = 12
-
-
 def candidate_pair_count(signed_listings: DataFrame) -> DataFrame:
-    """How many pairs of shops' listings share a volume and at least one word.
+    """How many pairs of shops' listings share a volume and at least one word: an optional counter.
 
-    An optional counter, computed without forming the pairs: by inclusion and
-    exclusion over the word subsets of each name, where a subset contributes the
-    cross-shop pairs of all listings that contain it. The few names with more
-    words than that covers are joined to the rest by their first shared word.
+    Names with the same words count as one row per shop. Two of them meet at the first word they share, so a
+    pair is counted once, and no pair is kept.
     """
     words = F.array_sort(F.array_distinct("sig.core_tokens"))
-    profs = profiles(signed_listings).select(
-        "profile_id", "store_id", "copies", F.col("sig.volume_ml").alias("volume_ml"), words.alias("words"))
-    short, long = F.size("words") <= SUBSET_WORDS, F.size("words") > SUBSET_WORDS
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("words")).cast("int") - 1)
-    numbered = profs.where(short).select(
-        "volume_ml", "store_id", "copies", "words",
-        F.explode(masks).alias("mask"))
-    chosen = F.filter("words", lambda w, at: F.call_function("getbit", F.col("mask"), at) == 1)
-    subsets = numbered.select(
-        "volume_ml", "store_id", "copies", F.array_join(chosen, " ").alias("subset"),
-        F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1).alias("sign"))
-    per_store = subsets.groupBy("volume_ml", "subset", "sign", "store_id").agg(F.sum("copies").cast("decimal(38,0)").alias("c"))
-    per_subset = per_store.groupBy("volume_ml", "subset", "sign").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    counted = per_subset.select((F.col("sign") * (F.col("s") * F.col("s") - F.col("q")) / 2).cast("bigint").alias("n"))
-
-    index = profs.select("*", F.posexplode("words").alias("pos", "word"))
-    a, b = index.where(long).alias("a"), index.alias("b")
-    once = (F.size("b.words") <= SUBSET_WORDS) | (F.col("a.profile_id") < F.col("b.profile_id"))
-    met = a.join(
-        b,
-        (F.col("a.volume_ml") == F.col("b.volume_ml")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.store_id") != F.col("b.store_id"))
-        & once & (F.col("a.word") == F.array_min(F.array_intersect("a.words", "b.words"))))
-    joined = met.select((F.col("a.copies") * F.col("b.copies")).alias("n"))
-    return counted.unionByName(joined).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_pairs"))
+    names = profiles(signed_listings).select("store_id", "copies", F.col("sig.volume_ml").alias("volume_ml"), words.alias("words"))
+    names = names.groupBy("volume_ml", "words", "store_id").agg(F.sum("copies").alias("copies"))
+    left = names.select("*", F.explode("words").alias("word"))
+    right = left.select("volume_ml", "word", *(F.col(c).alias(f"other_{c}") for c in ("store_id", "copies", "words")))
+    first = F.array_min(F.array_intersect("words", "other_words"))
+    met = left.join(right, ["volume_ml", "word"]).where((F.col("store_id") < F.col("other_store_id")) & (F.col("word") == first))
+    return met.agg(F.coalesce(F.sum((F.col("copies") * F.col("other_copies")).cast("bigint")), F.lit(0)).alias("candidate_pairs"))
 
 
 def _spanning_edges(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -612,7 +592,7 @@ def augment_candidates(plan: MatchPlan, rules: DataFrame | None = None) -> DataF
     return _strongest(kept.unionByName(manual))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Lowest reachable id per vertex: alternating large-star and small-star rounds.
 
     A round is two aggregations and two equi-joins; a hub with a third of all
@@ -621,7 +601,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     links = edges.select(F.col("left_id").cast("bigint").alias("u"), F.col("right_id").cast("bigint").alias("v")).where("u <> v")
     links = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -634,8 +614,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return links.select(F.col("u").alias("listing_id"), F.col("v").alias("component_id")).unionByName(
         links.select(F.col("v").alias("listing_id"), F.col("v").alias("component_id")).distinct()
     )

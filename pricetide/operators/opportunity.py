@@ -9,11 +9,8 @@ from pricetide.functions import scoring as K
 from pricetide.functions.signature import signature
 from pricetide.functions.text import safe_name
 
-MAX_ROWS = 30
-
-
 def _limit(limit: int) -> int:
-    return max(1, min(int(limit), MAX_ROWS))
+    return max(1, int(limit))
 
 
 def opportunity_views(snapshots: DataFrame, masters: DataFrame, listings: DataFrame, stores: DataFrame,

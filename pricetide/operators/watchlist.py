@@ -64,7 +64,7 @@ def evaluate_watchlist(favorites: DataFrame, snapshot: DataFrame, as_of: Column,
         F.when(here, True).when(gone, False).otherwise(F.col("was_available")).alias("was_available"),
         F.when(evaluated, as_of).otherwise(F.col("last_evaluated_at")).alias("last_evaluated_at"),
         evaluated.alias("evaluated"), F.when(F.size("events") > 0, F.sha2(raw, 256)).alias("payload_hash"),
-    ).withColumn("deduplication_key", F.when(F.col("payload_hash").isNotNull(), F.concat_ws(":", F.lit("favorite"), "favorite_id", F.left("payload_hash", F.lit(32)))))
+    ).withColumn("deduplication_key", F.when(F.col("payload_hash").isNotNull(), F.concat_ws(":", F.lit("favorite"), "favorite_id", F.col("payload_hash"))))
 
 
 def upsert_watchlist(state: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:

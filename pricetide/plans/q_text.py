@@ -53,7 +53,7 @@ scalar("canonical_url_shop", "F19",
        "'https://shop.example.com/product/' || regexp_extract(url, '/product/([^/?#]+)', 1) || '/'")
 scalar("is_product_url", "F20", lambda: U.is_product_url(F.col("url"), U.UrlRules(product_paths=("/product/red", "/product/old"), excluded=("utm=",))),
        "(contains(url, '/product/red') or contains(url, '/product/old')) and not contains(url, 'utm=')")
-scalar("is_valid_url", "F20", lambda: U.is_valid_url(F.when(F.col("listing_id") % 3 == 0, F.substring(F.col("url"), 9, 100)).otherwise(F.col("url"))),
+scalar("is_valid_url", "F20", lambda: U.is_valid_url(F.when(F.col("listing_id") % 3 == 0, F.substr(F.col("url"), F.lit(9))).otherwise(F.col("url"))),
        "listing_id % 3 <> 0")
 scalar("name_from_url", "F22", lambda: X.name_from_url(F.col("url")), "replace(regexp_extract(url, '/product/([^/?#]+)', 1), '-', ' ')")
 scalar("is_relevant", "F21", lambda: X.is_relevant(F.col("product_type"), F.col("name")),

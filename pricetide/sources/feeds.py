@@ -52,9 +52,9 @@ def _blank_to_null(c: Column) -> Column:
 
 def _listing(store: str, name: Column, url: Column, current: Column, regular: Column, sku: Column, ean: Column, sections: Column) -> list[Column]:
     return [
-        F.col(store).alias("store"), F.left(name, F.lit(500)).alias("name"), url.alias("url"), current.alias("current_price"),
+        F.col(store).alias("store"), name.alias("name"), url.alias("url"), current.alias("current_price"),
         regular.alias("regular_price"), discount_pct(regular, current).alias("discount_pct"),
-        _blank_to_null(F.left(normalize_spaces(sku), F.lit(120))).alias("sku"), _blank_to_null(F.left(F.regexp_replace(ean, r"\D", ""), F.lit(32))).alias("ean"),
+        _blank_to_null(normalize_spaces(sku)).alias("sku"), _blank_to_null(F.regexp_replace(ean, r"\D", "")).alias("ean"),
         sections.alias("source_sections"),
     ]
 

@@ -58,7 +58,7 @@ def extract_labelled_quotes(pages: DataFrame, rules: UrlRules = UrlRules(), prod
         quote("member", "MEMBER", F.col("normal"), MEMBER_AUDIENCE, True)), lambda q: q.isNotNull())
     url = canonical_url(F.col("href"), rules)
     return rows.select(
-        "store", F.left("name", F.lit(500)).alias("name"), url.alias("url"), F.col("current").alias("current_price"), regular.alias("regular_price"),
+        "store", "name", url.alias("url"), F.col("current").alias("current_price"), regular.alias("regular_price"),
         discount_pct(regular, F.col("current")).alias("discount_pct"), F.nullif(F.regexp_extract(url, r"-(\d{3,})/?$", 1), F.lit("")).alias("sku"), quotes.alias("price_quotes"))
 
 

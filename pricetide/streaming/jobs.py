@@ -154,11 +154,23 @@ def foreach_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str
         best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
         return best.select(*keys, "r.*").select(*stream.columns)
 
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions() -> list[int]:
+        """Whole versions: those whose job has left its mark."""
+        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/version={batch_id - 1}"))
+        before = [v for v in versions() if v < batch_id]
+        rows = batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/version={before[-1]}")) if before else batch
         latest(rows).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for old in before[:-1]:  # the one before stays for its readers
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(stream.schema).parquet(f"{path}/version={last}")
+    written = versions()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/version={written[-1]}")
