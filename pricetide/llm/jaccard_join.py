@@ -13,8 +13,9 @@ Frequencies are counted over all documents, for the lower band; a document whose
 its first n-grams of the upper band. N-grams of one document only take a place in its prefix but are never joined.
 
 Equal texts form a class first, so copies are one row. Then, before any pair within a posting list is formed, its
-smallest class is compared with all others (a star); lists that are one component after that need no pair
-among themselves. Only pairs of different components are formed, counted and verified, which leaves the
+most typical set is compared with all others (a star); lists that are one component after that need no pair
+among themselves. For the classes in other lists the prefixes are made anew, all their n-grams being ordered by frequency
+among these classes, and only pairs of different components are formed, counted and verified, which leaves the
 components as they would be with all pairs.
 
 Defined results: null text and text without words has an empty set and links with nothing: its component is its own
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators.matching import connected_components
@@ -41,13 +42,12 @@ from .words import BLANKS, Words, chunks, mix, windows
 
 NGRAM = 5
 NUMERATOR, DENOMINATOR = 75, 100
-#: Share of the hash space whose n-grams are ordered by frequency.
+#: Share of the hash space whose n-grams are ordered by frequency in the first pass.
 LOWER_BAND = 0.4
 #: Largest l tried.
 MAX_MATCHES = 8
 #: Cost of verifying a pair in postings read.
 VERIFY_COST = 20.0
-_LIMIT = np.uint64(int(LOWER_BAND * 2**64))
 
 
 def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +96,25 @@ def _read_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
 
 
 def _identify(rows: DataFrame, n: int, packed: bool) -> DataFrame:
-    """doc_id, two keys of the text, size of its set (or, packed, the compressed plain text)."""
+    """The other columns, two keys of the text, size of its set (or, packed, only the keys and the compressed plain text)."""
+    carried = [c for c in rows.columns if c != "text"]
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for a, b, words in _read_texts(batch):
                 one, two = _identities(words)
-                ids = batch.column("doc_id").slice(a, b - a)
                 if not packed:
                     sizes = np.diff(_sets(words, n)[1])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(one), pa.array(two), pa.array(sizes.astype(np.int64))], ["doc_id", "one", "two", "n_shingles"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in carried), pa.array(one), pa.array(two), pa.array(sizes.astype(np.int64))], [*carried, "one", "two", "n_shingles"])
                     continue
                 raw = words.data.tobytes()
                 texts = [press.compress(raw[s:e]) for s, e in zip(words.bounds, words.bounds[1:], strict=False)]
                 keep = pa.array(words.counts > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(texts, pa.binary())], ["one", "two", "packed"]).filter(keep)
 
-    return rows.mapInArrow(run, "one long, two long, packed binary" if packed else "doc_id long, one long, two long, n_shingles long")
+    return rows.mapInArrow(run, "one long, two long, packed binary" if packed else ", ".join([*(f"{c} {kinds[c]}" for c in carried), "one long, two long, n_shingles long"]))
 
 
 def _unpack(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -129,8 +130,14 @@ def _least_overlap(size: np.ndarray | int, numerator: int, denominator: int):
     return -(-numerator * size // denominator)
 
 
-def _postings(classes: DataFrame, n: int, numerator: int, denominator: int, max_matches: int) -> DataFrame:
-    """token, class, upper: n-grams of the lower band of each class, and of the upper band as far as a prefix may reach."""
+def _limit(band: float) -> np.uint64:
+    """Largest hash of the lower band."""
+    return np.uint64(min(int(band * 2**64), 2**64 - 1))
+
+
+def _postings(classes: DataFrame, n: int, numerator: int, denominator: int, max_matches: int, band: float) -> DataFrame:
+    """token, cls, size, low (n-grams in the lower band): all n-grams of the lower band, those of the upper band as far as a prefix may reach."""
+    limit = _limit(band)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +145,7 @@ def _postings(classes: DataFrame, n: int, numerator: int, denominator: int, max_
                 values, bounds = _sets(words, n)
                 sizes = np.diff(bounds)
                 # Sets are sorted by hash: the lower band comes first.
-                low = np.add.reduceat(np.concatenate((values < _LIMIT, [False])), bounds[:-1]) * (sizes > 0) if len(values) else np.zeros(len(sizes), int)
+                low = np.add.reduceat(np.concatenate((values <= limit, [False])), bounds[:-1]) * (sizes > 0) if len(values) else np.zeros(len(sizes), int)
                 reach = np.minimum(sizes, sizes - _least_overlap(sizes, numerator, denominator) + max_matches)
                 take = np.maximum(low, reach)
                 place = np.arange(len(values)) - np.repeat(bounds[:-1], sizes)
@@ -151,12 +158,12 @@ def _postings(classes: DataFrame, n: int, numerator: int, denominator: int, max_
     return classes.select("cls", "packed").mapInArrow(run, "token long, cls long, size int, low int")
 
 
-def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray, numerator: int, denominator: int, max_matches: int, verify_cost: float) -> tuple[int, np.ndarray]:
-    """The l of least estimated cost and the shared n-grams of that prefix.
+def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray, numerator: int, denominator: int, max_matches: int, verify_cost: float, limit: np.uint64) -> tuple[int, np.ndarray, int]:
+    """The l of least estimated cost, the shared n-grams in order, and how many of them are in that prefix.
 
     `tokens`: hashes of the n-grams that other documents have too, `frequency` their counts; the others come before them in the lower
     band. Postings read are the sum of the frequencies; each candidate takes at least l of them."""
-    upper = tokens >= _LIMIT
+    upper = tokens > limit
     order = np.lexsort((tokens, np.where(upper, 0, frequency), upper))
     tokens, frequency, upper = tokens[order], frequency[order], upper[order]
     alone = low - int((~upper).sum())  # n-grams of this document only
@@ -164,7 +171,7 @@ def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray
     # shared ones, but counting from `low` on gives a place that is never too large, hence never a shorter prefix.
     place = np.where(upper, low, alone) + np.where(upper, np.cumsum(upper) - 1, np.arange(len(tokens)))
     base = size - int(_least_overlap(size, numerator, denominator))
-    best, best_cost, best_taken = 1, math.inf, tokens[:0]
+    best, best_cost, best_taken = 1, math.inf, 0
     for matches in range(1, max_matches + 1):
         if base + matches > size and matches > 1:
             break
@@ -172,32 +179,41 @@ def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray
         read = float(frequency[taken].sum() - taken.sum())
         cost = read + verify_cost * read / matches
         if cost < best_cost:
-            best, best_cost, best_taken = matches, cost, tokens[taken]
-    return best, best_taken
+            best, best_cost, best_taken = matches, cost, int(taken.sum())
+    return best, tokens, best_taken
+
 
+def _prefixes(classes: DataFrame, n: int, numerator: int, denominator: int, max_matches: int, verify_cost: float, band: float) -> DataFrame:
+    """token, cls, size, common, matches: the prefix of each class, without n-grams that no other class has.
 
-def _prefixes(postings: DataFrame, numerator: int, denominator: int, max_matches: int, verify_cost: float) -> DataFrame:
-    """token, cls, size, matches: the prefix of each class, without n-grams that no other class has."""
-    shared = postings.withColumn("frequency", F.count("*").over(Window.partitionBy("token"))).where("frequency > 1")
+    `common` bounds what the class can share with any other; classes for which that is too little to link are left out."""
+    postings, limit = _postings(classes, n, numerator, denominator, max_matches, band), _limit(band)
+    shared = postings.withColumn("frequency", F.count("*").over(Window.partitionBy("token")).cast("int")).where("frequency > 1")
     lists = shared.groupBy("cls").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.collect_list("token").alias("tokens"), F.collect_list("frequency").alias("frequencies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, counts, lengths, matches = [], [], [], []
+            columns: list[list] = [[], [], []]
+            tokens = []
             flat_tokens, flat_counts = batch.column("tokens").flatten().to_numpy().view(np.uint64), batch.column("frequencies").flatten().to_numpy()
-            at = np.concatenate(([0], np.cumsum([len(x) for x in batch.column("tokens")])))
+            at = np.concatenate(([0], np.cumsum(batch.column("tokens").value_lengths().to_numpy())))
+            keep = []
             for k, (size, low) in enumerate(zip(batch.column("size").to_pylist(), batch.column("low").to_pylist(), strict=True)):
                 part = slice(at[k], at[k + 1])
-                best, taken = choose_prefix(size, low, flat_tokens[part], flat_counts[part], numerator, denominator, max_matches, verify_cost)
-                tokens.append(taken)
-                counts.append(size)
-                lengths.append(len(taken))
-                matches.append(best)
+                common = size - low + int((flat_tokens[part] <= limit).sum())
+                best, ordered, taken = choose_prefix(size, low, flat_tokens[part], flat_counts[part], numerator, denominator, max_matches, verify_cost, limit)
+                if taken and denominator * common >= numerator * size:
+                    keep.append(k)
+                    tokens.append(ordered[:taken])
+                    for column, value in zip(columns, (size, common, best), strict=True):
+                        column.append(value)
+            bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(), lengths)), pa.array(np.repeat(np.array(counts, np.int32), lengths)),
-                                              pa.array(np.repeat(np.array(matches, np.int32), lengths))], ["token", "cls", "size", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep, pa.int64())), *(pa.array(c, pa.int32()) for c in columns), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))],
+                                             ["cls", "size", "common", "matches", "tokens"])
 
-    return lists.mapInArrow(run, "token long, cls long, size int, matches int")
+    rows = lists.mapInArrow(run, "cls long, size int, common int, matches int, tokens array<long>")
+    return rows.select("cls", "size", "common", "matches", F.explode("tokens").alias("token"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
@@ -206,7 +222,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, n: int, numerator: int, denomi
     both = pairs.join(texts.select(F.col("cls").alias("left_id"), F.col("packed").alias("left")), "left_id").join(texts.select(F.col("cls").alias("right_id"), F.col("packed").alias("right")), "right_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             sides = []
             for name in ("left", "right"):
                 distinct = batch.column(name).dictionary_encode()
@@ -226,38 +242,79 @@ def _verify(pairs: DataFrame, classes: DataFrame, n: int, numerator: int, denomi
 
 def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
                    max_matches: int = MAX_MATCHES, verify_cost: float = VERIFY_COST) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), and one, two (equal for equal word sequences)."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), row_key (of id and text), and one, two (equal for equal word sequences)."""
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
     members = materialize(_identify(rows, n, packed=False))
-    classes = _identify(rows, n, packed=True).groupBy("one", "two").agg(F.first("packed").alias("packed"))
+    classes = _identify(rows.select("text"), n, packed=True).groupBy("one", "two").agg(F.first("packed").alias("packed"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
-    prefixes = materialize(_prefixes(_postings(classes, n, numerator, denominator, max_matches), numerator, denominator, max_matches, verify_cost))
-
-    # First every posting list's smallest class with all others of the list.
-    stars = prefixes.join(prefixes.groupBy("token").agg(F.min(F.struct("cls", "size")).alias("hub")), "token").where("cls > hub.cls")
-    fits = lambda a, b: (denominator * F.least(a, b) >= numerator * F.greatest(a, b))
-    stars = stars.where(fits(F.col("size"), F.col("hub.size"))).select(F.col("hub.cls").alias("left_id"), F.col("cls").alias("right_id")).distinct()
-    stars = materialize(stars)
-    first = materialize(_verify(stars, classes, n, numerator, denominator))
-    joined = connected_components(first).withColumnRenamed("listing_id", "cls")
-
-    # Then pairs between the components that a posting list still has.
-    left = prefixes.join(joined, "cls", "left").withColumn("component_id", F.coalesce("component_id", "cls"))
-    mixed = left.groupBy("token").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most").select("token")
-    left = materialize(left.join(mixed, "token"))
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "matches", "component_id")))
-    pairs = left.join(right, "token").where((F.col("cls") < F.col("cls2")) & (F.col("component_id") != F.col("component_id2")) & fits(F.col("size"), F.col("size2")))
-    pairs = pairs.groupBy("cls", "cls2").agg(F.count("*").alias("shared"), F.first("matches").alias("matches"), F.first("matches2").alias("matches2"))
+    options = (n, numerator, denominator, max_matches, verify_cost)
+    prefixes = materialize(_prefixes(classes, *options, LOWER_BAND))
+    # A pair links only if neither is too small, nor has too few n-grams that it shares with anyone.
+    fits = lambda a, b: (
+        (denominator * F.least(a["size"], b["size"]) >= numerator * F.greatest(a["size"], b["size"]))
+        & ((numerator + denominator) * F.least(a["common"], b["common"]) >= numerator * (a["size"] + b["size"])))
+
+    def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Postings with their component, of lists that have more than one."""
+        rows = rows.join(found, "cls", "left").withColumn("component_id", F.coalesce("component_id", "cls"))
+        lists = rows.groupBy("token").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most").select("token")
+        return rows.join(lists, "token")
+
+    def compare_with_hub(rows: DataFrame, second: bool) -> DataFrame:
+        """Pairs of each list's hub (or, `second`, the hub among the other components than its own) with those of other components.
+
+        The hub is the set with the fewest n-grams of its own, the smallest of these: what edited copies or texts around a passage have in common."""
+        smallest = F.min(F.struct((F.col("size") - F.col("common")).alias("alone"), "size", "cls", "common", "component_id"))
+        hubs = rows.groupBy("token").agg(smallest.alias("hub"))
+        if second:
+            hubs = rows.join(hubs.select("token", F.col("hub.component_id").alias("not_id")), "token").where("component_id <> not_id").groupBy("token").agg(smallest.alias("hub"))
+        near = rows.join(hubs, "token").where(F.col("component_id") != F.col("hub.component_id")).where(fits({c: F.col(c) for c in ("size", "common")}, F.col("hub")))
+        return near.select(F.least("cls", "hub.cls").alias("left_id"), F.greatest("cls", "hub.cls").alias("right_id")).distinct()
+
+    # First every posting list's hub with all others of the list: it links with most of what links within the list.
+    tried = materialize(compare_with_hub(prefixes.withColumn("component_id", F.col("cls")), False))
+    links = materialize(_verify(tried, classes, n, numerator, denominator))
+    joined = materialize(connected_components(links).withColumnRenamed("listing_id", "cls"))
+
+    # A further link joins two components within such a list. Only their classes are left: now all their n-grams are ordered by
+    # their frequency among them, so a passage that many share comes last.
+    rest = classes.join(with_components(prefixes, joined).select("cls").distinct(), "cls", "left_semi")
+    prefixes = materialize(_prefixes(rest, *options, 1.0))
+    for second in (False, True, True):
+        more = materialize(compare_with_hub(with_components(prefixes, joined), second).join(tried, ["left_id", "right_id"], "left_anti"))
+        tried = tried.unionByName(more)
+        links = materialize(links.unionByName(_verify(more, classes, n, numerator, denominator)))
+        joined = materialize(connected_components(links).withColumnRenamed("listing_id", "cls"))
+
+    # Then all pairs that are left between the components of a list, counted before they are verified.
+    left = materialize(with_components(prefixes, joined))
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "common", "matches", "component_id")))
+    apart = (F.col("cls") < F.col("cls2")) & (F.col("component_id") != F.col("component_id2")) & fits(*({c: F.col(c + k) for c in ("size", "common")} for k in ("", "2")))
+    pairs = left.join(right, "token").where(apart).groupBy("cls", "cls2").agg(F.count("*").alias("shared"), F.first("matches").alias("matches"), F.first("matches2").alias("matches2"))
     pairs = pairs.where(F.col("shared") >= F.least("matches", "matches2")).select(F.col("cls").alias("left_id"), F.col("cls2").alias("right_id"))
-    second = _verify(pairs.join(stars, ["left_id", "right_id"], "left_anti"), classes, n, numerator, denominator)
-    links = materialize(first.unionByName(second))
+    last = _verify(pairs.join(tried, ["left_id", "right_id"], "left_anti"), classes, n, numerator, denominator)
+    links = materialize(links.unionByName(last))
 
     components = connected_components(links).withColumnRenamed("listing_id", "cls")
     smallest = members.groupBy("one", "two").agg(F.min("doc_id").alias("least_id"))
     placed = classes.select("one", "two", "cls").join(smallest, ["one", "two"]).join(components, "cls", "left").withColumn("component", F.coalesce("component_id", "cls"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_text = placed.select("one", "two", "component").join(ids, "component").select("one", "two", "component_id")
-    return members.join(by_text, ["one", "two"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "one", "two")
+    by_text = placed.select("one", "two", "component").join(ids, "component").select("one", "two", "component", "component_id")
+    return members.join(by_text, ["one", "two"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "component", "one", "two")
+
+
+def row_key(id_column: Column, text: Column) -> Column:
+    """Equal for rows of equal id and text."""
+    return F.md5(F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit("\n"), F.when(text.isNull(), "n").otherwise("t"), F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One document of each component, that of the smallest id (null ids last), with all its columns; texts without words all stay, but rows that repeat id and text leave one."""
+    linked = link_documents(documents, id_col, text_col, **parameters)
+    group = F.when(F.col("n_shingles") > 0, F.struct("component", F.lit("").alias("own"))).otherwise(F.struct(F.lit(-1).cast("long").alias("component"), F.col("row_key").alias("own")))
+    kept = linked.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("__row_key"))
+    rows = documents.withColumn("__row_key", row_key(F.col(id_col), F.col(text_col))).join(kept, "__row_key")
+    return rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))).where("__copy = 1").select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 ORACLE = r"""
