@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pricetide.functions import signature as S
 from pricetide.operators import filters as P
 from pricetide.operators import history as H
+from pricetide.sources.tables import TABLE_SCHEMAS, read_tables as read_tables_of
 
 from .registry import ORACLE_VIEWS, query
 from .views import AS_OF
@@ -88,6 +91,17 @@ def read_tables(t):
     return t.lineitem.where("l_shipdate >= timestamp '2000-01-01 00:00:00'").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
 
 
+_CELLS = " union all ".join(f"select '{name}' as table_name, count(*) as n_rows, {' + '.join(f'count({c.split()[0]})' for c in schema.split(', '))} as n_cells from {name}" for name, schema in TABLE_SCHEMAS.items())
+
+
+@query("read_all_tables", "S1", _CELLS)
+def read_all_tables(t):
+    """Rows and filled cells of every table: all columns of all tables are read."""
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), sum((F.count(c) for c in df.columns[1:]), F.count(df.columns[0])).alias("n_cells"))
+              for name, df in read_tables_of(t.spark, t.folder).items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 @query("listing_observation_store_join", "J1", "select obs_id, master_id, price, excluded_from_comparison from v_pobs")
 def j1(t):
     joined = H.public_observations(t.v_obs.withColumn("run_id", F.col("obs_id")), t.v_listings, t.v_stores, t.v_quotes)

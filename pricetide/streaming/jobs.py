@@ -52,57 +52,65 @@ def stream_session_activity(obs: DataFrame, gap: str = "2 hours", delay: str = "
         .select("store_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "observations", "min_price"))
 
 
-def _stateful(rows: DataFrame, keys: list[str], order: list[str], output: str, state: str, step: Callable) -> DataFrame:
-    """Fold each key's rows in event order: ``step(state, row) -> (state, output row or None)``."""
-    names = [part.split()[0] for part in output.split(", ")]
+def _stateful(rows: DataFrame, keys: list[str], order: list[str], output: str, state: str, fold: Callable) -> DataFrame:
+    """Fold each key's new rows in event order, column-wise: ``fold(rows, value) -> (new value, output rows)``.
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        current = held.get if held.exists else None
-        frame = pd.concat(list(batches)).sort_values(order, kind="stable")
-        emitted = []
-        for row in frame.itertuples(index=False):
-            current, result = step(current, row)
-            if result is not None:
-                emitted.append(result)
-        held.update(current)
-        yield pd.DataFrame(emitted, columns=names)
+    ``value`` is the one number carried from batch to batch, None at first."""
+    kinds = dict(part.split() for part in output.split(", "))
 
-    return rows.groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
+        value, found = fold(frame, held.get[0] if held.exists else None)
+        held.update((value,))
+        whole = {name: "int64" for name, kind in kinds.items() if kind in ("bigint", "int")}
+        yield found[list(kinds)].astype(whole)
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def _before(values: pd.Series, first: int | None) -> pd.Series:
+    """Each row's predecessor; that of the first row is carried over."""
+    before = values.astype("Int64").shift()
+    before.iloc[0] = pd.NA if first is None else first
+    return before
 
 
 def stream_price_changes(obs: DataFrame) -> DataFrame:
     """Every observation whose price differs from the listing's one before."""
 
-    def step(state, row):
-        changed = state is not None and state[0] != row.price
-        return (int(row.price),), (row.obs_id, row.listing_id, state[0], row.price) if changed else None
+    def fold(rows: pd.DataFrame, last: int | None) -> tuple[int, pd.DataFrame]:
+        rows = rows.assign(previous_price=_before(rows["price"], last))
+        return int(rows["price"].iloc[-1]), rows[(rows["previous_price"] != rows["price"]).fillna(False)]
 
     rows = obs.select("obs_id", "listing_id", "price", "observed_at")
-    return _stateful(rows, ["listing_id"], ["observed_at", "obs_id"], "obs_id bigint, listing_id bigint, previous_price bigint, price bigint", "last bigint", step)
+    return _stateful(rows, ["listing_id"], ["observed_at", "obs_id"], "obs_id bigint, listing_id bigint, previous_price bigint, price bigint", "last bigint", fold)
 
 
 def stream_running_min(obs: DataFrame) -> DataFrame:
     """Observations that undercut everything seen of their product before."""
 
-    def step(state, row):
-        floor = state[0] if state is not None else None
-        broken = floor is not None and row.price < floor
-        lowest = int(row.price) if floor is None else min(floor, int(row.price))
-        return (lowest,), (row.obs_id, row.master_id, floor, row.price) if broken else None
+    def fold(rows: pd.DataFrame, floor: int | None) -> tuple[int, pd.DataFrame]:
+        lowest = rows["price"].astype("Int64").cummin()
+        lowest = lowest if floor is None else lowest.clip(upper=floor)
+        rows = rows.assign(previous_min=_before(lowest, floor))
+        return int(lowest.iloc[-1]), rows[(rows["price"] < rows["previous_min"]).fillna(False)]
 
     rows = obs.where("price > 0").select("obs_id", "master_id", "price", "observed_at")
-    return _stateful(rows, ["master_id"], ["observed_at", "obs_id"], "obs_id bigint, master_id bigint, previous_min bigint, price bigint", "floor bigint", step)
+    return _stateful(rows, ["master_id"], ["observed_at", "obs_id"], "obs_id bigint, master_id bigint, previous_min bigint, price bigint", "floor bigint", fold)
 
 
 def stream_availability(presence: DataFrame, threshold: int = 2) -> DataFrame:
     """Absence streak and availability per listing after each run."""
 
-    def step(state, row):
-        streak = 0 if row.observed else (state[0] if state is not None else 0) + int(row.is_healthy)
-        return (streak,), (row.listing_id, row.run_seq, streak, streak < threshold)
+    def fold(rows: pd.DataFrame, streak: int | None) -> tuple[int, pd.DataFrame]:
+        seen = rows["observed"].astype(bool)
+        since = seen.cumsum()
+        missed = rows["is_healthy"].astype("int64").where(~seen, 0).groupby(since).cumsum()
+        missed += (since == 0) * (streak or 0)
+        return int(missed.iloc[-1]), rows.assign(missing_streak=missed, is_available=missed < threshold)
 
     rows = presence.select("listing_id", "run_seq", "observed", "is_healthy")
-    return _stateful(rows, ["listing_id"], ["run_seq"], "listing_id bigint, run_seq int, missing_streak int, is_available boolean", "streak int", step)
+    return _stateful(rows, ["listing_id"], ["run_seq"], "listing_id bigint, run_seq int, missing_streak int, is_available boolean", "streak int", fold)
 
 
 def stream_watchlist(offers: DataFrame, favorites: DataFrame) -> DataFrame:
@@ -112,17 +120,18 @@ def stream_watchlist(offers: DataFrame, favorites: DataFrame) -> DataFrame:
     favorite's last known price.
     """
 
-    def step(state, row):
-        before = state[0] if state is not None else (None if pd.isna(row.last_best_price) else int(row.last_best_price))
-        price = int(row.price)
-        dropped = before is not None and price < before
-        reached = not pd.isna(row.target_price) and price <= row.target_price and (before is None or before > row.target_price)
-        events = ",".join(name for name, hit in (("price_drop", dropped), ("target_reached", reached)) if hit)
-        return (price,), (row.favorite_id, row.offer_id, events, price) if events else None
+    def fold(rows: pd.DataFrame, last: int | None) -> tuple[int, pd.DataFrame]:
+        known = rows["last_best_price"].iloc[0] if last is None else last
+        before = _before(rows["price"], None if pd.isna(known) else int(known))
+        target = rows["target_price"].astype("Int64")
+        dropped = (rows["price"] < before).fillna(False)
+        reached = ((rows["price"] <= target) & (before.isna() | (before > target).fillna(False))).fillna(False)
+        names = dropped.map({True: "price_drop", False: ""}) + (dropped & reached).map({True: ",", False: ""}) + reached.map({True: "target_reached", False: ""})
+        return int(rows["price"].iloc[-1]), rows.assign(events=names)[dropped | reached]
 
     watched = favorites.where("is_active").select("favorite_id", "master_id", "target_price", "last_best_price")
     rows = offers.where("price > 0").select("offer_id", "master_id", "price", "observed_at").join(watched, "master_id")
-    return _stateful(rows, ["favorite_id"], ["observed_at", "offer_id"], "favorite_id bigint, offer_id bigint, events string, price bigint", "last bigint", step)
+    return _stateful(rows, ["favorite_id"], ["observed_at", "offer_id"], "favorite_id bigint, offer_id bigint, events string, price bigint", "last bigint", fold)
 
 
 def stream_alert_dedup(alerts: DataFrame, window: str = "40 days") -> DataFrame:
