@@ -17,6 +17,7 @@ import base64
 import codecs
 import hashlib
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SLICE_CHARS = 1 << 19
 
 
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 600_000
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -74,17 +79,36 @@ class Codec:
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for spelling, rank in self.tokenizer.get_vocab().items():
             self.token_bytes[rank] = bytes(byte_of[c] for c in spelling)
+        self.known: dict[str, bytes] = {}
         self.lengths = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, the library being given a bounded number of characters at a time."""
+        """Ids of each text. A match of the pattern begins at every single blank between two other signs, so what
+        stands between such blanks is encoded by itself: each distinct word once, kept in a bounded table.
+        A text with other runs of blanks goes to the library whole."""
         out, at = [], 0
         while at < len(texts):
             to, chars = at, 0
             while to < len(texts) and (to == at or chars + len(texts[to]) <= SLICE_CHARS):
                 chars += len(texts[to])
                 to += 1
-            out += [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch(texts[at:to], add_special_tokens=False)]
+            words = [t.split(" ") for t in texts[at:to]]
+            for parts in words:
+                parts[0] = "".join((" ", parts[0]))  # the first one has no blank before it
+            used = set().union(*words)
+            if len(self.known) > KEPT_WORDS:
+                self.known = {}
+            new = [w for w in used if w not in self.known]
+            plain = [w for w in new if w and not w[-1].isspace() and (w[0] == " " or not w[0].isspace()) or w == " "]
+            odd = set(new).difference(plain)
+            self.known.update(zip(plain, self._ids([w[1:] if w[0] == " " else " " + w for w in plain]), strict=True))
+            get = self.known.__getitem__
+            for text, parts in zip(texts[at:to], words, strict=True):
+                raw = b"".join(map(get, parts)) if odd.isdisjoint(parts) else self._ids([text])[0]
+                out.append(np.frombuffer(raw, dtype=np.int32))
             at = to
         return out
 
