@@ -134,6 +134,15 @@ def test_frequent_lines_go_and_copies_count_once(spark):
     assert clean[3]["text"] == prose(3, 60) and clean[3]["n_chars"] == len(clean[3]["text"]) and clean[101]["text"] == copies[1][1] and 200 not in clean
 
 
+def test_a_line_in_fifty_documents_goes_on_a_large_host_too(spark):
+    rows = [(i, f"{prose(i, 60)}\nShare this page now" if i < 50 else prose(i, 60), "hot") for i in range(6000)]
+    docs = docs_of(spark, rows + [(9000 + i, f"{prose(9000 + i, 60)}\nShare this page now", "small") for i in range(5)])
+    report = {r["doc_id"]: r["n_removed_words"] for r in line_frequency.quality_report(docs).collect()}
+    assert all(n == (4 if i < 50 else 0) for i, n in report.items())
+    clean = {r["doc_id"]: r["text"] for r in line_frequency.filter_documents(docs).collect()}
+    assert {i for i, text in clean.items() if "Share" in text} == set(range(9000, 9005))
+
+
 def test_line_rules_reject_depleted(spark):
     menu = [prose(900 + k, 40) for k in range(3)]
     docs = docs_of(spark, [(i, "\n".join(menu) + "\n" + prose(i, 30 if i < 10 else 300), "h") for i in range(20)])
