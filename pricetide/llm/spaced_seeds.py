@@ -1,13 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask names the positions of a token window that are hashed; the others are ignored, so a hit survives
-substitutions there. Test windows are hashed under every mask. From the test hashes a bit table of fixed
+substitutions there. The masks lose nothing: a run of at least 12 tokens with at least 80 % equal ones contains 12 tokens
+with at most two substitutions, 15 with at most three or 20 with at most four (halve it as long as both parts have 12), and each placement of
+these leaves some mask untouched somewhere. Test windows are hashed under every mask. From the test hashes a bit table of fixed
 size is made; one pass over the corpus hashes every window under every mask and keeps the regions around
 windows in the table. The kept hashes are joined with the test hashes (the join decides, the table only saves
 shuffling), and each (region, item, diagonal) is verified: along the diagonal, tokens are compared and the best
 run with at least `min_identity` equal tokens is taken; it counts if it has `min_overlap` tokens (or the whole item, if that is shorter).
 
-A test item shorter than the window is hashed whole, without ignored positions, and must occur exactly; items of
+A test item shorter than the longest window is hashed whole, without ignored positions, and must occur exactly; items of
 fewer than `min_item_tokens` tokens are no evidence and are left out.
 
 Tokens are runs of letters and digits, in lower case.
@@ -32,8 +34,8 @@ from pricetide.session import materialize
 from .registry import query
 from .words import Words, byte_class, chunks, windows
 
-#: Windows of twelve tokens, eight of them hashed. No position is in all masks.
-MASKS = ("110110011011", "101101110110", "111010101101", "011111001101")
+#: Windows of up to twelve tokens, seven of them hashed: together they meet every run that the verifier accepts at MIN_OVERLAP and MIN_IDENTITY.
+MASKS = ("111010111", "110100100111", "1111111", "111010001101", "101111011", "11001110011")
 MIN_OVERLAP = 12
 MIN_IDENTITY = 0.8
 MIN_ITEM_TOKENS = 6
@@ -69,7 +71,7 @@ def _hash(hashes: np.ndarray, text: np.ndarray, mask: str, salt: int) -> tuple[n
 def item_windows(benchmark: DataFrame, masks: tuple[str, ...], min_item_tokens: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(item, item_id, tokens) and (hash, item, item_at, mask) of the items; a short item has one mask of its own length."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id())
-    span = len(masks[0])
+    span = max(map(len, masks))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +173,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Verified overlaps: doc_id, key (md5 of the text), item_id, doc_start, item_start, n_tokens, n_equal; the longest one of each row and item."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("key", F.md5("text"))
     items, keys = item_windows(benchmark, masks, min_item_tokens, item_col, item_text_col)
-    span = len(masks[0])
+    span = max(map(len, masks))
     sizes = items.agg(F.max("n").alias("most"), F.collect_set(F.when(F.col("n") < span, F.col("n"))).alias("short")).first()
     margin = int(sizes["most"] or 0) + span
     regions = materialize(find_regions(rows.select("doc_id", "key", "text"), bit_table(keys, bits), masks, tuple(sorted(sizes["short"])), margin, bits).withColumn("region", F.monotonically_increasing_id()))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -300,6 +301,36 @@ def test_spaced_seeds(spark, odd, none):
     assert spaced_seeds.contaminated_documents(none, bench).count() == 0 and spaced_seeds.contaminated_documents(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_meet_every_accepted_run():
+    masks = [sum(1 << i for i in spaced_seeds.mask_offsets(m)) for m in spaced_seeds.MASKS]
+    for n, edits in ((12, 2), (15, 3), (20, 4)):
+        for places in itertools.combinations(range(n), edits):
+            changed = sum(1 << k for k in places)
+            assert any(not changed & (m << s) for m in masks for s in range(n - m.bit_length() + 1)), (n, places)
+
+
+def test_overlaps_against_a_scan_of_all_diagonals(spark):
+    draw = random.Random(8)
+    items = [(i, prose(3000 + i, 12 + i % 13, 5000).split()) for i in range(26)] + [(99, prose(3999, 60, 5000).split())]
+    rows = []
+    for i, item in items:
+        for edits in [set(range(4, len(item), 5))] + [set(draw.sample(range(len(item)), len(item) // 5 + extra)) for extra in (0, 0, 0, 1)]:
+            rows.append((len(rows), " ".join([prose(len(rows), 8), *(f"z{k}" if k in edits else w for k, w in enumerate(item)), prose(len(rows) + 500, 8)]), "a"))
+    rows += [(1000 + k, " ".join(f"z{j}" if j in places else w for j, w in enumerate(items[0][1])), "a") for k, places in enumerate(itertools.combinations(range(1, 11), 2))]
+    want = set()
+    for d, text, _ in rows:
+        tokens = text.split()
+        for i, item in items:
+            for diagonal in range(-len(item) + 12, len(tokens) - 11):
+                equal = np.array([item[k] == tokens[k + diagonal] for k in range(max(0, -diagonal), min(len(item), len(tokens) - diagonal))])
+                hits = np.flatnonzero(equal)
+                if any(5 * equal[a : b + 1].sum() >= 4 * (b + 1 - a) for a in hits for b in hits if b + 1 - a >= 12):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in spaced_seeds.find_overlaps(docs_of(spark, rows), bench).collect()}
+    assert len(want) > 100 and found == want
+
+
 def test_best_run_against_all_runs():
     draw = np.random.default_rng(4)
     for _ in range(300):
