@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.ratio import JVM_SIMILARITIES, SIMILARITIES
+from pricetide.functions.ratio import JVM_SIMILARITIES, SIMILARITIES, distinct_ratios, ratio_bound
 from pricetide.functions.signature import comparison_key, signature
 from pricetide.functions.text import bind
 from pricetide.functions import wordlists as W
@@ -105,11 +105,12 @@ def _score(facts: Column, left: Column, right: Column, minimum_confidence: float
     return bind(confidence, outcome)
 
 
-def with_pair_score(pairs: DataFrame, minimum_confidence: float = 0.86, similarity: str = "sequence") -> DataFrame:
+def with_pair_score(pairs: DataFrame, minimum_confidence: float = 0.86, similarity: str = "sequence", floor: float | None = None) -> DataFrame:
     """Add ``confidence``, ``method`` and ``accepted`` to rows with structs ``l`` and ``r``.
 
-    The text ratio runs on the rows that survive the structural checks; for the
-    others its input is null.
+    The text ratio runs on the rows that survive the structural checks; for the others its input is null. With a
+    ``floor``, pairs that cannot reach it are left out: the common characters of their texts, counted in the JVM, bound the
+    ratio. A ratio in Python sees each distinct pair of texts once.
     """
     ratio = SIMILARITIES[similarity]
     left, right = F.col("l"), F.col("r")
@@ -120,12 +121,6 @@ def with_pair_score(pairs: DataFrame, minimum_confidence: float = 0.86, similari
     def keys(side: Column, conflict: Column) -> Column:
         return F.when(conflict.isNull(), side["core_key"])
 
-    def ratios(conflict: Column) -> tuple[Column, Column]:
-        return (
-            ratio(words(left, conflict), words(right, conflict)),
-            ratio(keys(left, conflict), keys(right, conflict)),
-        )
-
     def score(conflict: Column, ordered: Column, by_key: Column) -> Column:
         facts = F.struct(
             conflict.alias("conflict"),
@@ -139,13 +134,23 @@ def with_pair_score(pairs: DataFrame, minimum_confidence: float = 0.86, similari
 
     label = structural_conflict(left, right)
     if ratio in JVM_SIMILARITIES:
-        result = bind(label, lambda conflict: score(conflict, *ratios(conflict)))
+        result = bind(label, lambda conflict: score(
+            conflict, ratio(words(left, conflict), words(right, conflict)), ratio(keys(left, conflict), keys(right, conflict))))
         return pairs.withColumn("_score", result).select(*pairs.columns, "_score.*")
-    # A Python function cannot sit inside a lambda: its inputs are columns.
-    staged = pairs.withColumn("_conflict", label)
-    ordered, by_key = ratios(F.col("_conflict"))
-    staged = staged.withColumns({"_ordered": ordered, "_sorted": by_key})
-    result = score(F.col("_conflict"), F.col("_ordered"), F.col("_sorted"))
+    conflict = F.col("_conflict")
+    texts = {"_tl": words(left, conflict), "_tr": words(right, conflict), "_kl": keys(left, conflict), "_kr": keys(right, conflict)}
+    staged = pairs.withColumn("_conflict", label).withColumns(texts)
+    if floor is not None:
+        # Both texts of a pair have the same characters but for their order: one bound holds for both.
+        most = ratio_bound(F.col("_tl"), F.col("_tr"))
+        staged = staged.where(score(conflict, most, most)["confidence"] >= min(floor, minimum_confidence))
+    staged = materialize(staged)
+    both = staged.select(F.explode(F.array(F.struct(F.col("_tl").alias("a"), F.col("_tr").alias("b")), F.struct(F.col("_kl").alias("a"), F.col("_kr").alias("b")))).alias("t")).select("t.*")
+    known = distinct_ratios(both, "a", "b", "ratio", similarity)
+    known = materialize(known)
+    for name, one, two in (("_ordered", "_tl", "_tr"), ("_sorted", "_kl", "_kr")):
+        staged = staged.join(known.select(F.col("a").alias(one), F.col("b").alias(two), F.col("ratio").alias(name)), [one, two], "left")
+    result = score(conflict, F.col("_ordered"), F.col("_sorted"))
     return staged.withColumn("_score", result).select(*pairs.columns, "_score.*")
 
 
@@ -240,7 +245,7 @@ def candidate_profiles(profs: DataFrame, minimum_confidence: float) -> DataFrame
 def scored_profiles(profs: DataFrame, minimum_confidence: float = 0.86, similarity: str = "sequence") -> DataFrame:
     """Candidate pairs worth keeping: accepted, or close enough for a review."""
     floor = max(REVIEW_FLOOR, minimum_confidence - REVIEW_MARGIN)
-    scored = with_pair_score(candidate_profiles(profs, minimum_confidence), minimum_confidence, similarity)
+    scored = with_pair_score(candidate_profiles(profs, minimum_confidence), minimum_confidence, similarity, floor)
     keep = ["left_profile", "right_profile", "left_store", "right_store", "confidence", "method", "accepted"]
     return scored.where(F.col("accepted") | (F.col("confidence") >= floor)).select(
         *keep, (F.col("l.brand") == F.col("r.brand")).alias("same_brand")

@@ -149,6 +149,33 @@ def sig_view(source: str, id_col: str = "listing_id", name: str = "name", keep:
           from (select {id_col}, {name} as source_name, {aliases(name)} as normalized_text{cols} from {source}) s1) s2) s3"""
 
 
+def sequence_ratios(pairs: str) -> str:
+    """Matched share of each distinct text pair (a, b) by recursion: the longest common block, then what lies left and right of it.
+
+    ``cells`` are equal characters with the lengths of their runs; in texts of 200 and more, frequent
+    characters begin no block (``seed``) and only extend one.
+    """
+    return f"""
+  with recursive p as materialized (select row_number() over () as p, a, b, length(a) as la, length(b) as lb from (select distinct a, b from ({pairs}) where a is not null and b is not null)),
+  ca as (select p, i - 1 as i, a[i] as c from (select p, a, unnest(range(1, la + 1)) as i from p)),
+  cb as (select p, lb, j - 1 as j, b[j] as c from (select p, b, lb, unnest(range(1, lb + 1)) as j from p)),
+  usual as (select *, lb < 200 or count(*) over (partition by p, c) <= lb // 100 + 1 as seed from cb),
+  met as (select p, i, j, seed, i - j as d, i - row_number() over (partition by p, i - j order by i) as run,
+      i - row_number() over (partition by p, i - j, seed order by i) as seed_run from ca join usual using (p, c)),
+  cells as materialized (select p, i, j, seed, count(*) over ahead as ahead, count(*) over behind as behind, count(*) over seeds as seeds from met
+    window ahead as (partition by p, d, run order by i desc), behind as (partition by p, d, run order by i), seeds as (partition by p, d, seed, seed_run order by i desc)),
+  walk(p, alo, ahi, blo, bhi, gain) as (
+    select p, 0::bigint, la::bigint, 0::bigint, lb::bigint, 0::bigint from p
+    union all
+    select p, unnest([alo, best.i + best.k]), unnest([best.i, ahi]), unnest([blo, best.j + best.k]), unnest([best.j, bhi]), unnest([best.k, 0]) from (
+      select w.p, alo, ahi, blo, bhi, min({{'n': -(case when seed then least(seeds, ahi - i, bhi - j) else 0 end), 'si': i, 'sj': j,
+          'i': case when seed then i - least(behind - 1, i - alo, j - blo) else i end, 'j': case when seed then j - least(behind - 1, i - alo, j - blo) else j end,
+          'k': case when seed then least(behind - 1, i - alo, j - blo) else 0 end + least(ahead, ahi - i, bhi - j)}}) as best
+      from walk w join cells c on c.p = w.p and i >= alo and i < ahi and j >= blo and j < bhi and (seed or i = alo and j = blo)
+      where alo < ahi and blo < bhi group by w.p, alo, ahi, blo, bhi))
+  select a, b, case when la + lb = 0 then 1.0 else 2.0::double * sum(gain) / (la + lb)::double end as ratio from walk join p using (p) group by a, b, la, lb"""
+
+
 ORACLE_VIEWS["v_sig_names"] = sig_view("v_names", keep="store_id")
 ORACLE_VIEWS["v_sig_catalog"] = sig_view(
     "v_catalog", keep="store_id, master_id, sku, ean, name, url, excluded_from_comparison"

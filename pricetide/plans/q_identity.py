@@ -40,7 +40,16 @@ def assign_masters(t):
     return Pass(t).assigned.drop("evidence")
 
 
-@query("master_updates", "R6 W15 A16")
+# New facts of every target product; a component's weakest edge is the product's identity confidence.
+ORACLE_VIEWS["v_master_updates"] = f"""
+  with named as (select a.component_id, a.master_id, arg_max(s.name, {{'words': len(core_tokens), 'length': length(s.name), 'first': -listing_id}}) as best_name,
+      case when count(distinct volume_ml) = 1 then min(volume_ml) end as volume_ml, case when count(distinct brand) = 1 then min(brand) end as brand
+    from v_assigned a join v_sig_catalog s using (listing_id) group by 1, 2),
+  weakest as (select component_id, min(confidence) as identity_confidence from v_all_edges e join v_components c on c.listing_id = e.left_id group by 1)
+  select master_id, volume_ml, brand, {D.canonical_name('best_name')} as canonical_name, identity_confidence from named join weakest using (component_id)"""
+
+
+@query("master_updates", "R6 W15 A16", "select * from v_master_updates")
 def master_updates(t):
     p = Pass(t)
     return I.master_updates(p.assigned, p.components, p.edges, p.plan.signed)

@@ -8,6 +8,7 @@ from pricetide.functions import signature as S
 from pricetide.operators import matching as M
 from pricetide.session import materialize
 
+from . import duck_text as D
 from .registry import ORACLE_VIEWS, query
 
 _CATALOG = "(select * from v_sig_catalog where not excluded_from_comparison)"
@@ -30,14 +31,43 @@ def conflict(l, r):
       when {l}.core_key = {r}.core_key then 'alias_exact' end"""
 
 
-def score(source):
-    """Confidence of rows that carry ``label``, word counts and texts of both sides."""
+def confidence(source, ordered, by_key):
+    """Confidence of rows that carry ``label``, word counts and the two ratios of both sides' texts."""
     return f"""select *, case when label = 'alias_exact' then 1.0 when label is not null then 0.0 else
         greatest(0.0::double, least(0.999::double, (case when shared = least(nl, nr) and least(nl, nr) >= 2 then greatest(raw, 0.92) else raw end)
           - case when shared < 2 and least(nl, nr) > 1 then 0.1 else 0.0 end
           + case when same_vintage then 0.02 else 0.0 end + case when close_abv then 0.015 else 0.0 end)) end as confidence
       from (select *, 0.5::double * (shared / least(nl, nr)::double) + 0.25::double * (shared / (nl + nr - shared)::double)
-          + 0.25::double * greatest({lev('tl', 'tr')}, {lev('kl', 'kr')}) as raw from {source})"""
+          + 0.25::double * greatest({ordered}, {by_key}) as raw from {source})"""
+
+
+def score(source):
+    return confidence(source, lev("tl", "tr"), lev("kl", "kr"))
+
+
+def sequence_score(view, source):
+    """The same with the ratio of longest common blocks: adds the views it needs under the name ``view``."""
+    ORACLE_VIEWS[view + "_facts"] = f"select * from {source}"
+    ORACLE_VIEWS[view + "_ratio"] = D.sequence_ratios(f"select tl as a, tr as b from {view}_facts where label is null union all select kl, kr from {view}_facts where label is null")
+    joined = f"(select f.*, x.ratio as ordered_ratio, y.ratio as key_ratio from {view}_facts f left join {view}_ratio x on x.a = tl and x.b = tr left join {view}_ratio y on y.a = kl and y.b = kr)"
+    return confidence(joined, "ordered_ratio", "key_ratio")
+
+
+def edges_of(scored, best):
+    """Edges that are the clear best from both sides."""
+    return f"""select s.left_id, s.right_id, s.confidence, case when label = 'alias_exact' then label else 'fuzzy_brand_variant_volume' end as method
+      from {scored} s join {best} a on a.id = s.left_id and a.best = s.right_id and not a.ambiguous
+      join {best} b on b.id = s.right_id and b.best = s.left_id and not b.ambiguous where s.confidence >= 0.86"""
+
+
+def best_of(scored):
+    """Best counterpart of a listing in every other shop."""
+    return f"""select id, other_store, max(other) filter (rn = 1) as best, max(confidence) filter (rn = 1) as confidence,
+        max(other) filter (rn = 2) as runner_id, max(confidence) filter (rn = 2) as runner_confidence,
+        coalesce(max(confidence) filter (rn = 1) - max(confidence) filter (rn = 2) < 0.015, false) as ambiguous
+      from (select *, row_number() over (partition by id, other_store order by confidence desc, other) as rn from (
+        select left_id as id, right_id as other, right_store as other_store, confidence from {scored} where confidence >= 0.86
+        union all select right_id, left_id, left_store, confidence from {scored} where confidence >= 0.86)) where rn <= 2 group by 1, 2"""
 
 
 _PAIR_FACTS = f"""{conflict('l', 'r')} as label, len(list_intersect(l.core_tokens, r.core_tokens)) as shared,
@@ -45,20 +75,13 @@ _PAIR_FACTS = f"""{conflict('l', 'r')} as label, len(list_intersect(l.core_token
   array_to_string(l.core_tokens, ' ') as tl, array_to_string(r.core_tokens, ' ') as tr, l.core_key as kl, r.core_key as kr,
   coalesce(l.vintage_year = r.vintage_year, false) as same_vintage, coalesce(abs(l.abv_pct - r.abv_pct) <= 0.2, false) as close_abv"""
 
-ORACLE_VIEWS.update(
-    v_scored=score(f"""(select l.listing_id as left_id, r.listing_id as right_id, l.store_id as left_store, r.store_id as right_store,
+_BLOCK_FACTS = f"""(select l.listing_id as left_id, r.listing_id as right_id, l.store_id as left_store, r.store_id as right_store,
         l.brand = r.brand as same_brand, {_PAIR_FACTS}
       from {_CATALOG} l join {_CATALOG} r on l.store_id < r.store_id and l.volume_ml = r.volume_ml and l.brand = r.brand
-      where not l.is_pack and not r.is_pack)"""),
-    v_both="""select left_id as id, right_id as other, right_store as other_store, confidence from v_scored where confidence >= 0.86
-      union all select right_id, left_id, left_store, confidence from v_scored where confidence >= 0.86""",
-    v_best="""select id, other_store, max(other) filter (rn = 1) as best, max(confidence) filter (rn = 1) as confidence,
-        max(other) filter (rn = 2) as runner_id, max(confidence) filter (rn = 2) as runner_confidence,
-        coalesce(max(confidence) filter (rn = 1) - max(confidence) filter (rn = 2) < 0.015, false) as ambiguous
-      from (select *, row_number() over (partition by id, other_store order by confidence desc, other) as rn from v_both) where rn <= 2 group by 1, 2""",
-    v_edges="""select s.left_id, s.right_id, s.confidence, case when label = 'alias_exact' then label else 'fuzzy_brand_variant_volume' end as method
-      from v_scored s join v_best a on a.id = s.left_id and a.best = s.right_id and not a.ambiguous
-      join v_best b on b.id = s.right_id and b.best = s.left_id and not b.ambiguous where s.confidence >= 0.86""",
+      where not l.is_pack and not r.is_pack)"""
+ORACLE_VIEWS.update(
+    v_scored=score(_BLOCK_FACTS), v_best=best_of("v_scored"), v_edges=edges_of("v_scored", "v_best"),
+    v_seq_scored=sequence_score("v_seq", _BLOCK_FACTS), v_seq_best=best_of("v_seq_scored"), v_seq_edges=edges_of("v_seq_scored", "v_seq_best"),
 )
 
 
@@ -93,7 +116,11 @@ def pair_score(t):
     return M.with_pair_score(neighbours(t), similarity="levenshtein").select("left_id", "right_id", "confidence", "accepted")
 
 
-@query("pair_score_sequence", "R2")
+ORACLE_VIEWS["v_seq_neighbours"] = sequence_score("v_neighbour", "(" + _NEIGHBOURS.format(facts=_PAIR_FACTS) + ")")
+
+
+@query("pair_score_sequence", "R2", """select left_id, right_id, confidence, confidence >= 0.86 as accepted,
+    coalesce(label, case when confidence >= 0.86 then 'fuzzy_brand_variant_volume' else 'below_threshold' end) as method from v_seq_neighbours""")
 def pair_score_sequence(t):
     return M.with_pair_score(neighbours(t)).select("left_id", "right_id", "confidence", "accepted", "method")
 
@@ -117,7 +144,7 @@ def match_plan(t):
     return plan(t).candidates
 
 
-@query("match_plan_sequence", "R3 W8")
+@query("match_plan_sequence", "R3 W8", "select * from v_seq_edges")
 def match_plan_sequence(t):
     return plan(t, "sequence").candidates
 

@@ -11,7 +11,7 @@ from pricetide.operators import personal as R
 from pricetide.session import materialize
 
 from .q_history import as_of, context_stats, master_stats, recent_runs
-from .q_matching import _PAIR_FACTS, score
+from .q_matching import _PAIR_FACTS, score, sequence_score
 from .registry import ORACLE_VIEWS, query
 from .views import AS_OF
 
@@ -21,6 +21,16 @@ ROUND1 = (
     "when d * 10 - floor(d * 10) = 0.5 and floor(d * 10) % 2 = 1 then 1 else 0 end)::double / 10"
 )
 
+
+def _verified(scored):
+    """Per product: are all its offers one product, and how sure is that?"""
+    return f"""select master_id, bool_and(ok) as verified, min(c) as confidence from (
+        select master_id, case when label in ('excluded_pack', 'volume_conflict', 'vintage_conflict', 'abv_conflict') then false when trusted then true
+            else confidence >= 0.86 end as ok,
+          case when trusted then least(ls, rs) else least(confidence, coalesce(ls, confidence), coalesce(rs, confidence)) end as c
+        from ({scored})) group by 1"""
+
+
 ORACLE_VIEWS.update(
     v_best_public="select * from v_public_quote qualify row_number() over (partition by listing_id order by price, case when price_type = 'SALE' then 0 else 1 end, audience_key) = 1",
     v_products="""select l.listing_id, l.store_id, l.master_id, s.name as store_name, l.name, l.url, trim(l.ean) as ean, l.last_seen_at,
@@ -40,11 +50,8 @@ ORACLE_VIEWS.update(
         coalesce(ml.master_id = mr.master_id, false) as trusted, {_PAIR_FACTS}
       from v_offers l join v_offers r on l.master_id = r.master_id and l.listing_id < r.listing_id
       left join v_matches ml on ml.listing_id = l.listing_id left join v_matches mr on mr.listing_id = r.listing_id""",
-    v_verified="""select master_id, bool_and(ok) as verified, min(c) as confidence from (
-        select master_id, case when label in ('excluded_pack', 'volume_conflict', 'vintage_conflict', 'abv_conflict') then false when trusted then true
-            else confidence >= 0.86 end as ok,
-          case when trusted then least(ls, rs) else least(confidence, coalesce(ls, confidence), coalesce(rs, confidence)) end as c
-        from (""" + score("v_pair_facts") + """)) group by 1""",
+    v_verified=_verified(score("v_pair_facts")),
+    v_seq_verified=_verified(sequence_score("v_pair_seq", "v_pair_facts")),
     v_prev_winner="""select master_id, store_id as previous_winner_store_id, store_name as previous_winner_store_name from (
         select o.master_id, o.store_id, o.store_name, previous_price, row_number() over w as rn, lead(previous_price) over w as next_price
         from v_offers o join v_previous using (listing_id) window w as (partition by o.master_id order by previous_price, lower(o.store_name), o.listing_id))
@@ -53,6 +60,16 @@ ORACLE_VIEWS.update(
 
 _HOURS = f"epoch(timestamp '{AS_OF}' - seen) / 3600"
 _POSITION = """case when min_90d <> 0 and winner_price <= min_90d then greatest(p0, 0.95::double) else p0 end"""
+
+
+def _money(c):
+    return f"('$' || replace(format('{{:,}}', ({c})::bigint), ',', '.'))"
+
+
+def _percent(c, digits):
+    return f"(format('{{:.{digits}f}}', ({c}) * 100) || '%')"
+
+
 ORACLE_VIEWS["v_comparison"] = f"""
   with base as (select r.*, v.confidence, v.verified and not coalesce(r.runner_price / r.winner_price::double >= 4.0 and not r.one_ean, false) as ok,
       r.winner_price = r.runner_price as is_tie from v_ranked r join v_verified v using (master_id)),
@@ -73,7 +90,14 @@ ORACLE_VIEWS["v_comparison"] = f"""
         when historical_min <> 0 and winner_price > 0 and winner_price <= historical_min then 'AT_HISTORICAL_MIN'
         when historical_min <> 0 and winner_price > historical_min and (winner_price - historical_min) / historical_min::double <= 0.03 then 'NEAR_HISTORICAL_MIN'
         when saving_pct >= 0.15 then 'MARKET_LEADER' else 'NORMAL' end as price_event from c3)
-  select master_id, offer_count, is_tie, case when not is_tie then winner_listing_id end as winner_listing_id, case when not is_tie then winner_store_id end as winner_store_id,
+  select master_id, m.canonical_name, m.volume_ml, offer_count, is_tie, case when not is_tie then winner_store_name end as winner_store_name, previous_winner_store_name, min_90d, avg_90d, median_90d,
+    coalesce(days_at_current_price, 0) as days_at_current_price, 'v2' as score_version, case price_event
+      when 'NEW_HISTORICAL_MIN' then 'nuevo mínimo histórico: ' || {_money('winner_price')} || ' queda ' || {_money('previous_historical_min - winner_price')} || ' (' || {_percent('(previous_historical_min - winner_price) / previous_historical_min::double', 1)} || ') bajo el mínimo anterior de ' || {_money('previous_historical_min')}
+      when 'RARE_OFFER' then 'oferta poco frecuente: sólo ' || {_percent('freq', 0)} || ' de ' || observations_90d || ' observaciones de 90 días estuvieron en la zona del mínimo (hasta 5% sobre el piso)'
+      when 'AT_HISTORICAL_MIN' then 'precio actual iguala el mínimo histórico de ' || {_money('historical_min')}
+      when 'NEAR_HISTORICAL_MIN' then 'precio a ' || {_percent('(winner_price - historical_min) / historical_min::double', 1)} || ' del mínimo histórico de ' || {_money('historical_min')}
+      when 'MARKET_LEADER' then 'líder de mercado con ' || {_percent('saving_pct', 1)} || ' de ventaja frente al segundo precio' else 'sin señal comercial excepcional' end as intelligence_reason,
+    case when not is_tie then winner_listing_id end as winner_listing_id, case when not is_tie then winner_store_id end as winner_store_id,
     case when not is_tie then winner_price end as winner_price, case when not is_tie then runner_store_id end as runner_store_id, case when not is_tie then runner_price end as runner_price,
     saving, saving_pct, confidence, previous_winner_store_id, not is_tie and coalesce(winner_store_id <> previous_winner_store_id, false) as winner_changed,
     case when not is_tie then winner_previous_price end as winner_previous_price, historical_min, previous_historical_min, coalesce(observations_90d, 0) as observations_90d, score,
@@ -81,13 +105,8 @@ ORACLE_VIEWS["v_comparison"] = f"""
     history_position, freshness, scarcity, rarity, freq as rarity_frequency_90d, price_event,
     case when price_event = 'NEW_HISTORICAL_MIN' then previous_historical_min - winner_price else 0 end as historical_gap,
     case when price_event = 'NEW_HISTORICAL_MIN' then (previous_historical_min - winner_price) / previous_historical_min::double else 0.0 end as historical_gap_pct
-  from c4"""
-COMPARISON_COLUMNS = (
-    "master_id offer_count is_tie winner_listing_id winner_store_id winner_price runner_store_id runner_price saving saving_pct confidence "
-    "previous_winner_store_id winner_changed winner_previous_price historical_min previous_historical_min observations_90d score classification "
-    "history_position freshness scarcity rarity rarity_frequency_90d price_event historical_gap historical_gap_pct"
-).split()
-
+  from c4 left join v_masters m using (master_id)"""
+ORACLE_VIEWS["v_seq_comparison"] = ORACLE_VIEWS["v_comparison"].replace("v_verified", "v_seq_verified")
 
 def compare(t, similarity="levenshtein"):
     return C.PriceComparison(
@@ -97,10 +116,10 @@ def compare(t, similarity="levenshtein"):
 
 @query("price_comparison", "C9 J14", "select * from v_comparison")
 def price_comparison(t):
-    return compare(t).result.select(*COMPARISON_COLUMNS)
+    return compare(t).result
 
 
-@query("price_comparison_sequence", "C9 J14")
+@query("price_comparison_sequence", "C9 J14", "select * from v_seq_comparison")
 def price_comparison_sequence(t):
     return compare(t, "sequence").result
 
