@@ -230,13 +230,25 @@ _LEV = "(1.0::double - levenshtein({a}, {b}) / greatest(length({a}), length({b})
 ORACLE_VIEWS["v_parsed"] = f"""select query_id, norm, list_distinct(list_filter(string_split(norm, ' '), lambda w: w <> '')) as toks, pack_count as qpack, {D.search_norm("brand")} as qbrand,
     coalesce(volume_ml, list_filter(list_transform(regexp_extract_all(replace(norm, ' ', '  '), '(?:^|[^0-9])([0-9]{{2,4}})(?:[^0-9]|$)', 1), lambda x: x::int), lambda x: x between 50 and 5000)[-1]) as qvol
   from (select *, {D.search_norm('source_name')} as norm from v_sig_asked) where length(norm) >= 2"""
-ORACLE_VIEWS["v_search"] = f"""select query_id, master_id, canonical_name, greatest(0.0::double, least(1.0::double, cov * 0.58::double + lik * 0.32::double + case when contains(doc, norm) then 0.12::double else 0.0::double end
+# Queries against all products whose volume and pack agree, each with the texts that are compared.
+ORACLE_VIEWS["v_search_pairs"] = f"""select p.*, c.*, len(list_intersect(p.toks, string_split(c.doc, ' '))) / len(p.toks)::double as cov
+  from v_parsed p join (select master_id, canonical_name, volume_ml, package_quantity, search_text as doc, {D.search_norm('brand')} as mbrand,
+      list_concat([search_text], list_transform(list_filter(coalesce(aliases, []), lambda a: a <> ''), lambda a: {D.search_norm('a')})) as texts from v_search_catalog) c
+    on (p.qvol is null or c.volume_ml is null or abs(p.qvol - c.volume_ml) <= greatest(5, round_even(p.qvol * 0.01, 0))) and (p.qpack is null or p.qpack = c.package_quantity)"""
+
+
+def _search_score(likeness):
+    """Score of ``v_search_pairs`` rows joined with the best similarity of their texts."""
+    return f"""select query_id, master_id, canonical_name, greatest(0.0::double, least(1.0::double, cov * 0.58::double + lik * 0.32::double + case when contains(doc, norm) then 0.12::double else 0.0::double end
       + case when cov = 1.0 then 0.08::double else 0.0::double end + case when qvol = volume_ml then 0.08::double else 0.0::double end
       + case when qbrand <> '' and mbrand <> '' and qbrand = mbrand then 0.08::double when qbrand <> '' and mbrand <> '' and not contains(doc, qbrand) then -0.12::double else 0.0::double end)) as score
-  from (select p.*, c.*, len(list_intersect(p.toks, string_split(c.doc, ' '))) / len(p.toks)::double as cov,
-      list_max(list_transform(list_concat([c.doc], c.alias_texts), lambda x: {_LEV.format(a='p.norm', b='x')})) as lik
-    from v_parsed p join (select master_id, canonical_name, volume_ml, package_quantity, search_text as doc, {D.search_norm('brand')} as mbrand, list_transform(aliases, lambda a: {D.search_norm('a')}) as alias_texts from v_search_catalog) c
-      on (p.qvol is null or c.volume_ml is null or abs(p.qvol - c.volume_ml) <= greatest(5, round_even(p.qvol * 0.01, 0))) and (p.qpack is null or p.qpack = c.package_quantity))"""
+  from ({likeness})"""
+
+
+ORACLE_VIEWS["v_search"] = _search_score(f"select *, list_max(list_transform(texts, lambda x: {_LEV.format(a='norm', b='x')})) as lik from v_search_pairs")
+ORACLE_VIEWS["v_search_ratio"] = D.sequence_ratios("select norm as a, unnest(texts) as b from v_search_pairs")
+ORACLE_VIEWS["v_seq_search"] = _search_score("""select p.*, lik from v_search_pairs p join (select query_id, master_id, max(ratio) as lik from (select query_id, master_id, norm, unnest(texts) as text from v_search_pairs) x
+      join v_search_ratio r on r.a = x.norm and r.b = x.text group by 1, 2) using (query_id, master_id)""")
 
 
 def found(t, similarity="levenshtein", minimum=0.34):
@@ -249,9 +261,19 @@ def search_score(t):
     return found(t)[1].select("query_id", "master_id", "score")
 
 
-@query("search_score_sequence", "Q1")
+@query("search_score_sequence", "Q1 J15", "select query_id, master_id, score from v_seq_search where score >= 0.34")
 def search_score_sequence(t):
-    return found(t, "sequence")[1]
+    return found(t, "sequence")[1].select("query_id", "master_id", "score")
+
+
+@query("search_score_low", "Q1 J15", "select query_id, master_id, score from v_seq_search where score >= 0.12")
+def search_score_low(t):
+    return found(t, "sequence", 0.12)[1].select("query_id", "master_id", "score")
+
+
+@query("search_score_high", "Q1 J15", "select query_id, master_id, score from v_seq_search where score >= 0.6")
+def search_score_high(t):
+    return found(t, "sequence", 0.6)[1].select("query_id", "master_id", "score")
 
 
 ORACLE_VIEWS["v_fresh_public"] = f"""select l.* from v_listings l join v_stores s using (store_id) where s.is_active and comparison_enabled and is_available and not excluded_from_comparison and current_price > 0
@@ -272,9 +294,12 @@ def search(t):
     return run_search(t)[0].select("query_id", "position", "master_id", "score", "offer_count", F.col("winner.price").alias("winner_price"))
 
 
-@query("search_sequence", "Q2")
+ORACLE_VIEWS["v_seq_page"] = ORACLE_VIEWS["v_page"].replace("v_search", "v_seq_search")
+
+
+@query("search_sequence", "Q2", f"select query_id, position, master_id, canonical_name, score, offer_count, winner_price from v_seq_page join ({_BEST}) using (master_id)")
 def search_sequence(t):
-    return run_search(t, "sequence")[0].drop("winner", "runner_up")
+    return run_search(t, "sequence")[0].select("query_id", "position", "master_id", "canonical_name", "score", "offer_count", F.col("winner.price").alias("winner_price"))
 
 
 @query("resolve_query", "Q4", f"""select query_id, case when s1 is null then 'not_found' when s1 < 0.5 or coalesce(s1 - s2 < 0.07, false) then 'ambiguous' else 'resolved' end as status from v_asked left join (
