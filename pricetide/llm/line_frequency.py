@@ -2,8 +2,7 @@
 
 Lines are normalised (A-Z in lower case, digits to 0, blanks joined) and hashed; per host and line the distinct
 documents are counted, a document being a distinct text, so that copies of one document count once. A line
-in more than `max_documents` documents is removed, whatever the size of its host; with a `max_share` it must be in more than that share of
-its host's documents as well (the registered query sets it, as its SQL twin does). A document
+in more than `max_documents` documents is removed, whatever the size of its host. A document
 fails its base rules by too few words or too many repeated words, and is rejected as depleted when removal leaves
 less than `min_left` of its words.
 
@@ -27,7 +26,6 @@ BLANK, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCUMENTS = 5
-MAX_SHARE = 0.01
 MIN_LEFT = 0.3
 
 
@@ -68,7 +66,7 @@ def _base(documents: DataFrame) -> DataFrame:
     }).drop("words", "lines", "windows", "sorted", "repeated")
 
 
-def frequent_lines(documents: DataFrame, max_documents: int, max_share: float | None) -> DataFrame:
+def frequent_lines(documents: DataFrame, max_documents: int) -> DataFrame:
     """Per document key: the hashes of its lines above the limits and the words in them."""
     lines = documents.where("text is not null").withColumn("line", F.explode(lines_of(F.col("text"))))
     host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
@@ -76,15 +74,12 @@ def frequent_lines(documents: DataFrame, max_documents: int, max_share: float |
     lines = lines.select(host.alias("host"), key.alias("key"), line_hash(F.col("line")).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
     lines = lines.groupBy("host", "line", "key").agg(F.max("n").alias("n"), F.count("*").alias("times"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents)
-    if max_share is not None:
-        hosts = lines.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
-        counts = counts.join(hosts, "host").where(F.col("documents") > max_share * F.col("of_host"))
     return lines.join(counts.select("host", "line"), ["host", "line"]).groupBy("key").agg(F.collect_list("line").alias("removed"))
 
 
-def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, extra: list[str], max_documents: int, max_share: float | None, min_left: float) -> DataFrame:
+def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, extra: list[str], max_documents: int, min_left: float) -> DataFrame:
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), *(F.struct(*(F.col(f"`{c}`") for c in extra)).alias("carried") for _ in extra[:1]))
-    found = frequent_lines(rows.select("host", "text"), max_documents, max_share)
+    found = frequent_lines(rows.select("host", "text"), max_documents)
     rows = _base(rows).join(found, "key", "left")
     gone = F.coalesce(F.aggregate(F.filter("marks", lambda mark: F.array_contains("removed", mark["line"])), F.lit(0), lambda a, mark: a + mark["n"]), F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -94,16 +89,16 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, ext
 
 
 def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                   max_documents: int = MAX_DOCUMENTS, max_share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
+                   max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row: id, counts, base_failed, kept, and the words in lines above the limits."""
-    rows = _judged(documents, id_col, text_col, host_col, [], max_documents, max_share, min_left)
+    rows = _judged(documents, id_col, text_col, host_col, [], max_documents, min_left)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def filter_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars",
-                     max_documents: int = MAX_DOCUMENTS, max_share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
+                     max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """The kept documents with all their columns, the lines above the limits taken out of the text and its length put right."""
-    rows = _judged(documents, id_col, text_col, host_col, [c for c in documents.columns if c != text_col], max_documents, max_share, min_left).where("kept")
+    rows = _judged(documents, id_col, text_col, host_col, [c for c in documents.columns if c != text_col], max_documents, min_left).where("kept")
     clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n", -1), lambda line: ~F.coalesce(F.array_contains("removed", line_hash(line)) & line.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))), "\n"))
     kinds = dict(documents.dtypes)
@@ -125,10 +120,7 @@ rule_lines AS (
   SELECT row, source AS host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM rule_rows WHERE text IS NOT NULL),
 rule_real AS (SELECT *, {_NORMAL} AS plain, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM rule_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 rule_dups AS (SELECT row, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM rule_real GROUP BY row),
-rule_hosts AS (SELECT coalesce('h' || host, 'n') AS host, count(DISTINCT text) AS of_host FROM rule_real GROUP BY 1),
-rule_above AS (
-  SELECT h.host, plain FROM (SELECT coalesce('h' || host, 'n') AS host, plain, count(DISTINCT text) AS documents FROM rule_real GROUP BY 1, 2) c JOIN rule_hosts h ON c.host = h.host
-  WHERE documents > {MAX_DOCUMENTS} AND documents > {MAX_SHARE} * of_host),
+rule_above AS (SELECT coalesce('h' || host, 'n') AS host, plain FROM rule_real GROUP BY 1, 2 HAVING count(DISTINCT text) > {MAX_DOCUMENTS}),
 rule_removed AS (SELECT row, sum(n)::BIGINT AS n_removed_words FROM rule_real r JOIN rule_above a ON coalesce('h' || r.host, 'n') = a.host AND r.plain = a.plain GROUP BY row),
 rule_base AS (
   SELECT w.row, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
@@ -144,4 +136,4 @@ ORACLE = f"WITH {_RULES_SQL.format(documents='documents')} SELECT doc_id, n_word
 
 @query("op4_line_frequency", ORACLE)
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_share=MAX_SHARE)
+    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
