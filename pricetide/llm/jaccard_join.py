@@ -16,7 +16,9 @@ Equal texts form a class first, so copies are one row. Then, before any pair wit
 most typical set is compared with all others (a star); lists that are one component after that need no pair
 among themselves. For the classes in other lists the prefixes are made anew, all their n-grams being ordered by frequency
 among these classes, and only pairs of different components are formed, counted and verified, which leaves the
-components as they would be with all pairs.
+components as they would be with all pairs. In these pairs the smaller set needs a shorter prefix (its overlap with a set that is not smaller is at
+least 2t / (1 + t) of it), and a sketch of each whole set (the parity of its n-grams in bands of the hash space, which bounds the difference of two sets
+from below) rules out, within the join, pairs that cannot reach t.
 
 Defined results: null text and text without words has an empty set and links with nothing: its component is its own
 id. A text of fewer words than n has one n-gram, the whole sequence. Rows that repeat an id are each
@@ -25,6 +27,7 @@ compared by their text; a component's id is its smallest id, null only if all ar
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -46,6 +49,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 LOWER_BAND = 0.4
 #: Largest l tried.
 MAX_MATCHES = 8
+#: Longs of a class's sketch in the last join.
+SKETCH_WORDS = 32
 #: Cost of verifying a pair in postings read.
 VERIFY_COST = 20.0
 
@@ -158,8 +163,9 @@ def _postings(classes: DataFrame, n: int, numerator: int, denominator: int, max_
     return classes.select("cls", "packed").mapInArrow(run, "token long, cls long, size int, low int")
 
 
-def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray, numerator: int, denominator: int, max_matches: int, verify_cost: float, limit: np.uint64) -> tuple[int, np.ndarray, int]:
-    """The l of least estimated cost, the shared n-grams in order, and how many of them are in that prefix.
+def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray, numerator: int, denominator: int, max_matches: int, verify_cost: float, limit: np.uint64) -> tuple[int, np.ndarray, int, int]:
+    """The l of least estimated cost, the shared n-grams in order, how many of them are in that prefix, and how many in the shorter
+    one that is enough against sets of at least this size.
 
     `tokens`: hashes of the n-grams that other documents have too, `frequency` their counts; the others come before them in the lower
     band. Postings read are the sum of the frequencies; each candidate takes at least l of them."""
@@ -171,6 +177,8 @@ def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray
     # shared ones, but counting from `low` on gives a place that is never too large, hence never a shorter prefix.
     place = np.where(upper, low, alone) + np.where(upper, np.cumsum(upper) - 1, np.arange(len(tokens)))
     base = size - int(_least_overlap(size, numerator, denominator))
+    # With a set s of at least this size: the least overlap is n / (n + d) * (|r| + |s|), not below 2n / (n + d) * |r|.
+    short_base = size + (-2 * numerator * size // (numerator + denominator))
     best, best_cost, best_taken = 1, math.inf, 0
     for matches in range(1, max_matches + 1):
         if base + matches > size and matches > 1:
@@ -180,20 +188,20 @@ def choose_prefix(size: int, low: int, tokens: np.ndarray, frequency: np.ndarray
         cost = read + verify_cost * read / matches
         if cost < best_cost:
             best, best_cost, best_taken = matches, cost, int(taken.sum())
-    return best, tokens, best_taken
+    return best, tokens, best_taken, min(best_taken, int((place < short_base + best).sum()))
 
 
 def _prefixes(classes: DataFrame, n: int, numerator: int, denominator: int, max_matches: int, verify_cost: float, band: float) -> DataFrame:
-    """token, cls, size, common, matches: the prefix of each class, without n-grams that no other class has.
+    """token, cls, size, common, matches, short: the prefix of each class, without n-grams that no other class has.
 
-    `common` bounds what the class can share with any other; classes for which that is too little to link are left out."""
+    `short` marks the n-grams that are enough against classes of at least the same size. `common` bounds what the class can share with any other; classes for which that is too little to link are left out."""
     postings, limit = _postings(classes, n, numerator, denominator, max_matches, band), _limit(band)
     shared = postings.withColumn("frequency", F.count("*").over(Window.partitionBy("token")).cast("int")).where("frequency > 1")
     lists = shared.groupBy("cls").agg(F.first("size").alias("size"), F.first("low").alias("low"), F.collect_list("token").alias("tokens"), F.collect_list("frequency").alias("frequencies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], []]
+            columns: list[list] = [[], [], [], []]
             tokens = []
             flat_tokens, flat_counts = batch.column("tokens").flatten().to_numpy().view(np.uint64), batch.column("frequencies").flatten().to_numpy()
             at = np.concatenate(([0], np.cumsum(batch.column("tokens").value_lengths().to_numpy())))
@@ -201,19 +209,45 @@ def _prefixes(classes: DataFrame, n: int, numerator: int, denominator: int, max_
             for k, (size, low) in enumerate(zip(batch.column("size").to_pylist(), batch.column("low").to_pylist(), strict=True)):
                 part = slice(at[k], at[k + 1])
                 common = size - low + int((flat_tokens[part] <= limit).sum())
-                best, ordered, taken = choose_prefix(size, low, flat_tokens[part], flat_counts[part], numerator, denominator, max_matches, verify_cost, limit)
+                best, ordered, taken, short = choose_prefix(size, low, flat_tokens[part], flat_counts[part], numerator, denominator, max_matches, verify_cost, limit)
                 if taken and denominator * common >= numerator * size:
                     keep.append(k)
                     tokens.append(ordered[:taken])
-                    for column, value in zip(columns, (size, common, best), strict=True):
+                    for column, value in zip(columns, (size, common, best, short), strict=True):
                         column.append(value)
             bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep, pa.int64())), *(pa.array(c, pa.int32()) for c in columns), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))],
-                                             ["cls", "size", "common", "matches", "tokens"])
+                                             ["cls", "size", "common", "matches", "n_short", "tokens"])
 
-    rows = lists.mapInArrow(run, "cls long, size int, common int, matches int, tokens array<long>")
-    return rows.select("cls", "size", "common", "matches", F.explode("tokens").alias("token"))
+    rows = lists.mapInArrow(run, "cls long, size int, common int, matches int, n_short int, tokens array<long>")
+    return rows.select("cls", "size", "common", "matches", "n_short", F.posexplode("tokens").alias("place", "token")).select("cls", "size", "common", "matches", (F.col("place") < F.col("n_short")).alias("short"), "token")
+
+
+def _sketches(classes: DataFrame, n: int, words: int = SKETCH_WORDS) -> DataFrame:
+    """cls and `words` longs: for each of 64 * words bands of the hash space, whether the class has an odd number of n-grams in it.
+
+    Two sets differ in at least one n-gram for every band in which their sketches differ."""
+    names = [f"sketch{k}_" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, texts in _unpack(batch.column("packed")):
+                values, bounds = _sets(texts, n)
+                rows = len(bounds) - 1
+                band = (mix(values) % np.uint64(64 * words)).astype(np.int64)
+                odd = np.zeros(rows * 64 * words, dtype=np.uint8)
+                np.bitwise_xor.at(odd, np.repeat(np.arange(rows), np.diff(bounds)) * (64 * words) + band, 1)
+                longs = np.packbits(odd).view(np.int64).reshape(rows, words)
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, rows), *(pa.array(longs[:, k].copy()) for k in range(words))], ["cls", *names])
+
+    return classes.select("cls", "packed").mapInArrow(run, ", ".join(["cls long", *(f"{c} long" for c in names)]))
+
+
+def _may_link(left: str, right: str, numerator: int, denominator: int, words: int = SKETCH_WORDS) -> Column:
+    """False only for pairs that cannot link: a link allows (d - n) / (d + n) of both sizes as difference, and the sketches bound it from below."""
+    differ = functools.reduce(Column.__add__, (F.bit_count(F.col(f"sketch{k}_{left}").bitwiseXOR(F.col(f"sketch{k}_{right}"))) for k in range(words)))
+    return (numerator + denominator) * differ <= (denominator - numerator) * (F.col(f"size{left}") + F.col(f"size{right}"))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
@@ -287,9 +321,13 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         joined = materialize(connected_components(links).withColumnRenamed("listing_id", "cls"))
 
     # Then all pairs that are left between the components of a list, counted before they are verified.
-    left = materialize(with_components(prefixes, joined))
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "common", "matches", "component_id")))
-    apart = (F.col("cls") < F.col("cls2")) & (F.col("component_id") != F.col("component_id2")) & fits(*({c: F.col(c + k) for c in ("size", "common")} for k in ("", "2")))
+    # The smaller class of a pair meets the other with its shorter prefix only, and sketches of the whole sets rule out most pairs
+    # whose similarity lies below the threshold before they leave the join.
+    left = with_components(prefixes, joined)
+    left = materialize(left.join(_sketches(rest, n), "cls"))
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "common", "matches", "short", "component_id", *(f"sketch{k}_" for k in range(SKETCH_WORDS)))))
+    smaller = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("cls") < F.col("cls2")))
+    apart = (F.col("cls") < F.col("cls2")) & (F.col("component_id") != F.col("component_id2")) & F.when(smaller, F.col("short")).otherwise(F.col("short2")) & _may_link("", "2", numerator, denominator) & fits(*({c: F.col(c + k) for c in ("size", "common")} for k in ("", "2")))
     pairs = left.join(right, "token").where(apart).groupBy("cls", "cls2").agg(F.count("*").alias("shared"), F.first("matches").alias("matches"), F.first("matches2").alias("matches2"))
     pairs = pairs.where(F.col("shared") >= F.least("matches", "matches2")).select(F.col("cls").alias("left_id"), F.col("cls2").alias("right_id"))
     last = _verify(pairs.join(tried, ["left_id", "right_id"], "left_anti"), classes, n, numerator, denominator)

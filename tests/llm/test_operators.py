@@ -413,6 +413,34 @@ def test_prefixes_share_the_smaller_number():
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     prefix = lambda c: set(c[1][: c[2]].tolist())
                     assert len(prefix(chosen[a]) & prefix(chosen[b])) >= min(chosen[a][0], chosen[b][0])
+                    small, large = (a, b) if len(sets[a]) <= len(sets[b]) else (b, a)
+                    assert len(set(chosen[small][1][: chosen[small][3]].tolist()) & prefix(chosen[large])) >= min(chosen[a][0], chosen[b][0])
+
+
+def test_sketch_bounds_the_difference(spark):
+    """Sketches differ in no more bands than the sets in n-grams; sets just below the threshold are told apart."""
+    base = prose(11, 300, 100_000)
+    rows = [(k, edited(k, base, edits)) for k, edits in enumerate([0, 1, 3, 8, 15, 25, 40] * 4)]
+    classes = jaccard_join._identify(spark.createDataFrame(rows, "doc_id long, text string").select("text"), 5, True).withColumn("cls", F.col("one"))
+    keys = dict(zip([t for _, t in rows], [r["cls"] for r in jaccard_join._identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("text"), 5, True).withColumn("cls", F.col("one")).collect()], strict=True))
+    sketches = {r[0]: r[1:] for r in jaccard_join._sketches(classes, 5).collect()}
+    ruled_out = 0
+    for (_, a), (_, b) in itertools.combinations(rows, 2):
+        one, two = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(sketches[keys[a]], sketches[keys[b]], strict=True))
+        assert differ <= len(one ^ two)
+        ruled_out += 7 * differ > len(one) + len(two)
+        if 100 * len(one & two) >= 75 * len(one | two):
+            assert 7 * differ <= len(one) + len(two)
+    assert ruled_out > 50
+
+
+def test_group_just_below_the_threshold(spark):
+    """A large group of edited copies that barely do not link: the same components as by brute force, few pairs left to verify."""
+    base = prose(77, 100, 100_000)
+    rows = [(k, edited(k, base, 4), "a") for k in range(400)]
+    got = jaccard_join.link_documents(docs_of(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == collections.Counter(brute_components(rows))
 
 
 def test_keep_one(spark, odd):
