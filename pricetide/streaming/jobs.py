@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pricetide.sources.sinks import BUCKETS, read_buckets, upsert_buckets
 from pricetide.sources.tables import SCHEMAS
 
 
@@ -150,36 +151,15 @@ def stream_interval_join(current: DataFrame, earlier: DataFrame, within: str = "
         F.col("c.obs_id").alias("obs_id"), F.col("e.obs_id").alias("previous_obs_id"), F.col("c.price").alias("price"), F.col("e.price").alias("previous_price"))
 
 
-def foreach_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key, kept as a replaced snapshot per micro-batch.
+def foreach_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Latest row per key, kept in hash buckets: a micro-batch rewrites the buckets it touches.
 
-    A batch writes a version of its own from the one before it, so a repeated
-    batch repeats its own write and readers never see half a snapshot.
+    A batch is published by its number, so one that is repeated after a failure is not merged twice, and readers never see half of one.
     """
-    spark = stream.sparkSession
-    rest = [c for c in stream.columns if c not in keys]
-
-    def latest(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-        return best.select(*keys, "r.*").select(*stream.columns)
-
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions() -> list[int]:
-        """Whole versions: those whose job has left its mark."""
-        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in versions() if v < batch_id]
-        rows = batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/version={before[-1]}")) if before else batch
-        latest(rows).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        for old in before[:-1]:  # the one before stays for its readers
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+        upsert_buckets(batch, path, keys, order, batch_id, buckets)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    written = versions()
-    if not written:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/version={written[-1]}")
+    return read_buckets(stream.sparkSession, path, stream.schema)
