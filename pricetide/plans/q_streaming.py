@@ -67,17 +67,35 @@ def stream_availability(t):
     landed = folder(t, "presence")
     table = presence(t)
     table.write.parquet(landed)
-    return done(t, S.stream_availability(t.spark.readStream.schema(table.schema).parquet(landed)), "availability")
-
-
-ORACLE_VIEWS["v_watch_stream"] = """select favorite_id, obs_id as offer_id, price, target_price, coalesce(lag(price) over (partition by favorite_id order by observed_at, obs_id), last_best_price) as before
-  from v_obs join v_watch using (master_id) where price > 0 and is_active"""
-
-
-@query("stream_watchlist", "T6", """select favorite_id, offer_id, concat_ws(',', case when price < before then 'price_drop' end, case when price <= target_price and (before is null or before > target_price) then 'target_reached' end) as events, price
-  from v_watch_stream where price < before or (price <= target_price and (before is null or before > target_price))""")
+    return done(t, S.stream_availability(t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", S.FILES_PER_BATCH).parquet(landed)), "availability")
+
+
+# Every offer of a watched product with the prices that its five shops have after it (0: not available).
+_SHOPS = "Shop AFRICA", "Shop AMERICA", "Shop ASIA", "Shop EUROPE", "Shop MIDDLE EAST"
+_SHOP_PRICES = ", ".join(f"last_value(case when store_id = {k} then case when obs_id % 11 <> 0 and price > 0 then price else 0 end end ignore nulls) over (w rows between unbounded preceding and current row) as p{k}" for k in range(1, 6))
+ORACLE_VIEWS["v_watch_steps"] = f"""with steps as (select favorite_id, obs_id, observed_at, target_price, last_best_price, last_winner_store, was_available, last_evaluated_at,
+      row_number() over w as step, {_SHOP_PRICES} from v_obs join v_watch using (master_id) where is_active window w as (partition by favorite_id order by observed_at, obs_id)),
+    seen as (select *, least({", ".join(f"nullif(p{k}, 0)" for k in range(1, 6))}) as best, list_filter([{", ".join(f"case when p{k} > 0 then '{s}' end" for k, s in enumerate(_SHOPS, 1))}], lambda s: s is not null) as shops from steps),
+    led as (select *, case {" ".join(f"when p{k} = best then '{s}'" for k, s in enumerate(_SHOPS, 1))} end as winner from seen)
+  select *, coalesce(last_value(best ignore nulls) over (w rows between unbounded preceding and 1 preceding), last_best_price) as before_price,
+    case when step = 1 then last_winner_store else lag(winner) over w end as before_winner, case when step = 1 then was_available else lag(best) over w is not null end as before_available,
+    case when step = 1 then case when last_winner_store is null then [] else ['Shop ASIA'] end else lag(shops) over w end as before_shops
+  from led window w as (partition by favorite_id order by step)"""
+ORACLE_VIEWS["v_watch_told"] = """select favorite_id, obs_id as offer_id, best as best_price, winner as winner_store, concat_ws(',',
+    case when favorite_id % 3 <> 1 and (step > 1 or last_evaluated_at is not null) and not before_available then 'back_in_stock' end,
+    case when favorite_id % 4 <> 1 and before_price - best >= 1 then 'price_drop' end,
+    case when best <= target_price and (before_price is null or before_price > target_price) then 'target_reached' end,
+    case when favorite_id % 5 <> 1 and len(before_shops) > 0 and len(list_filter(shops, lambda s: not list_contains(before_shops, s))) > 0 then 'new_store' end,
+    case when favorite_id % 7 <> 1 and winner <> before_winner then 'winner_change' end) as events from v_watch_steps where best is not null"""
+
+
+@query("stream_watchlist", "T6", "select favorite_id, offer_id, events, best_price, winner_store from v_watch_told where events <> ''")
 def stream_watchlist(t):
-    return done(t, S.stream_watchlist(obs_stream(t).withColumnRenamed("obs_id", "offer_id"), t.v_watch), "watchlist")
+    favorite = F.col("favorite_id")
+    flags = {"notify_back_in_stock": favorite % 3 != 1, "notify_price_drop": favorite % 4 != 1, "notify_new_store": favorite % 5 != 1, "notify_winner_change": favorite % 7 != 1}
+    known = F.when(F.col("last_winner_store").isNotNull(), F.array(F.lit("Shop ASIA"))).otherwise(F.array().cast("array<string>"))
+    offers = obs_stream(t).join(t.v_stores.select("store_id", F.col("name").alias("store_name")), "store_id").withColumnRenamed("obs_id", "offer_id").withColumn("is_available", F.col("offer_id") % 11 != 0)
+    return done(t, S.stream_watchlist(offers, t.v_watch.withColumn("last_store_names", known).withColumns(flags)), "watchlist")
 
 
 @query("stream_alert_dedup", "T7", "select distinct concat('a:', master_id, ':', price) as deduplication_key from v_obs")

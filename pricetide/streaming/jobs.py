@@ -8,6 +8,7 @@ key's rows of a micro-batch in event order; ``maxFilesPerTrigger`` or
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,9 +19,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pricetide.sources.sinks import BUCKETS, read_buckets, upsert_buckets
 from pricetide.sources.tables import SCHEMAS
 
+#: Files of a source that one micro-batch takes.
+FILES_PER_BATCH = 16
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: str | None = None, **options) -> DataFrame:
     """Files of one table as they arrive in ``folder``."""
+    options = {"maxFilesPerTrigger": FILES_PER_BATCH} | options
     return spark.readStream.schema(schema or SCHEMAS[name]).options(pathGlobFilter=f"{name}*", **options).parquet(folder)
 
 
@@ -114,25 +119,66 @@ def stream_availability(presence: DataFrame, threshold: int = 2) -> DataFrame:
     return _stateful(rows, ["listing_id"], ["run_seq"], "listing_id bigint, run_seq int, missing_streak int, is_available boolean", "streak int", fold)
 
 
-def stream_watchlist(offers: DataFrame, favorites: DataFrame) -> DataFrame:
-    """Price events of watched products; the favorites are a static table.
+def _watch(minimum_drop: int, ttl: int) -> Callable:
+    """Events of one favorite's new offers. State: what was last told, and the current price per shop (JSON)."""
 
-    ``offers``: offer_id, master_id, price, observed_at. State starts from the
-    favorite's last known price.
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        # The rows of one favorite in one micro-batch, bounded by what the source admits to a batch.
+        frame = pd.concat(list(batches)).sort_values(["observed_at", "offer_id"], kind="stable")
+        first = frame.iloc[0]
+        if held.exists:
+            price, winner, available, evaluated, known = held.get
+            shops = json.loads(known)
+            names = set(shops)
+        else:
+            price = None if pd.isna(first["last_best_price"]) else int(first["last_best_price"])
+            winner, names, shops = first["last_winner_store"], set(first["last_store_names"]), {}
+            available, evaluated = bool(first["was_available"]), not pd.isna(first["last_evaluated_at"])
+        found = []
+        for row in frame.itertuples(index=False):
+            if row.is_available and row.price > 0:
+                shops[row.store_name] = int(row.price)
+            else:
+                shops.pop(row.store_name, None)
+            if not shops:
+                winner, names, available, evaluated = None, set(), False, True
+                continue
+            best, _, leader = min((p, s.lower(), s) for s, p in shops.items())
+            target = None if pd.isna(row.target_price) else int(row.target_price)
+            tests = (
+                ("back_in_stock", row.notify_back_in_stock and evaluated and not available),
+                ("price_drop", row.notify_price_drop and price is not None and price - best >= max(1, minimum_drop)),
+                ("target_reached", target is not None and best <= target and (price is None or price > target)),
+                ("new_store", row.notify_new_store and names and set(shops) - names),
+                ("winner_change", row.notify_winner_change and winner and leader != winner))
+            events = ",".join(name for name, holds in tests if holds)
+            if events:
+                found.append((key[0], row.offer_id, events, best, leader))
+            price, winner, names, available, evaluated = best, leader, set(shops), True, True
+        held.update((price, winner, available, evaluated, json.dumps(shops)))
+        held.setTimeoutTimestamp(max(int(frame["observed_at"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + ttl)
+        yield pd.DataFrame(found, columns=["favorite_id", "offer_id", "events", "best_price", "winner_store"]).astype({"favorite_id": "int64", "offer_id": "int64", "best_price": "int64"})
+
+    return run
+
+
+def stream_watchlist(offers: DataFrame, favorites: DataFrame, minimum_drop: int = 1, ttl_days: int = 90, delay: str = "1 day") -> DataFrame:
+    """All five events of watched products after every offer; the favorites are a static table.
+
+    ``offers``: offer_id, master_id, store_name, price, is_available, observed_at; an offer that is not available takes its shop off the
+    product. State starts from what the favorite was last told and goes after ``ttl_days`` without an offer, by
+    the offers' own time; offers later than ``delay`` are dropped. Notify flags default to on.
     """
-
-    def fold(rows: pd.DataFrame, last: int | None) -> tuple[int, pd.DataFrame]:
-        known = rows["last_best_price"].iloc[0] if last is None else last
-        before = _before(rows["price"], None if pd.isna(known) else int(known))
-        target = rows["target_price"].astype("Int64")
-        dropped = (rows["price"] < before).fillna(False)
-        reached = ((rows["price"] <= target) & (before.isna() | (before > target).fillna(False))).fillna(False)
-        names = dropped.map({True: "price_drop", False: ""}) + (dropped & reached).map({True: ",", False: ""}) + reached.map({True: "target_reached", False: ""})
-        return int(rows["price"].iloc[-1]), rows.assign(events=names)[dropped | reached]
-
-    watched = favorites.where("is_active").select("favorite_id", "master_id", "target_price", "last_best_price")
-    rows = offers.where("price > 0").select("offer_id", "master_id", "price", "observed_at").join(watched, "master_id")
-    return _stateful(rows, ["favorite_id"], ["observed_at", "offer_id"], "favorite_id bigint, offer_id bigint, events string, price bigint", "last bigint", fold)
+    flags = ("notify_back_in_stock", "notify_price_drop", "notify_new_store", "notify_winner_change")
+    watched = favorites.where("is_active").withColumns({f: F.lit(True) for f in flags if f not in favorites.columns}).select(
+        "favorite_id", "master_id", "target_price", "last_best_price", "last_winner_store", F.coalesce("last_store_names", F.array().cast("array<string>")).alias("last_store_names"), "was_available", "last_evaluated_at", *flags)
+    rows = offers.select("offer_id", "master_id", "store_name", "price", "is_available", "observed_at").withWatermark("observed_at", delay).join(watched, "master_id")
+    return rows.groupBy("favorite_id").applyInPandasWithState(
+        _watch(minimum_drop, ttl_days * 86_400_000), "favorite_id bigint, offer_id bigint, events string, best_price bigint, winner_store string",
+        "price bigint, winner string, available boolean, evaluated boolean, shops string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_alert_dedup(alerts: DataFrame, window: str = "40 days") -> DataFrame:
