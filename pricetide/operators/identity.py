@@ -206,13 +206,14 @@ def register_aliases(existing: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
-def unique_aliases(names: DataFrame, limit: int = ALIAS_LIMIT) -> DataFrame:
-    """First ``limit`` different names per product by search text, in ``seq`` order."""
+def unique_aliases(names: DataFrame, limit: int | None = None) -> DataFrame:
+    """Different names per product by search text, in ``seq`` order; with a ``limit``, the first so many."""
     clean = names.select("master_id", "seq", X.normalize_spaces(F.col("alias_text")).alias("alias_text"))
     keyed = clean.withColumn("key", X.search_normalize(F.col("alias_text"))).where("key <> ''")
     first = keyed.groupBy("master_id", "key").agg(F.min_by("alias_text", "seq").alias("alias_text"), F.min("seq").alias("seq"))
     order = Window.partitionBy("master_id").orderBy("seq", "key")
-    kept = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    kept = first.withColumn("rank", F.row_number().over(order))
+    kept = kept if limit is None else kept.where(F.col("rank") <= limit)
     listed = F.array_sort(F.collect_list(F.struct("rank", "alias_text")))
     return kept.groupBy("master_id").agg(F.transform(listed, lambda a: a["alias_text"]).alias("aliases"))
 

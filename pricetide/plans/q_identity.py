@@ -205,8 +205,7 @@ ORACLE_VIEWS["v_alias_names"] = f"""select master_id, seq, alias_text, {D.search
     select user_id as master_id, -1 as seq, 'Master ' || user_id || ' 750 ml' as alias_text from (select distinct user_id from events) where user_id % 50 <> 49
     union all select master_id, listing_id, v_listings.name from v_listings join v_stores using (store_id) where is_available and is_active and comparison_enabled and master_id % 50 <> 49)"""
 ORACLE_VIEWS["v_unique_aliases"] = """select master_id, list(alias_text order by seq) as aliases from (select * from (
-    select master_id, key, seq, alias_text, row_number() over (partition by master_id, key order by seq) as rk from v_alias_names where key <> '') where rk = 1
-    qualify row_number() over (partition by master_id order by seq, key) <= 25) group by 1"""
+    select master_id, key, seq, alias_text, row_number() over (partition by master_id, key order by seq) as rk from v_alias_names where key <> '') where rk = 1) group by 1"""
 
 
 def alias_names(t):
