@@ -6,12 +6,12 @@ half of (sum_i v_i x_i)^2 - sum_i (v_i x_i)^2 in each of the `rank` dimensions.
 punctuation and non-ASCII bytes, mean word length, repeated lines and words, and as metadata its length and number of lines.
 
 Labels are learnt from a bounded sample: the `sample_rows` training rows with the least hash of their id (documented bound; all rows if there are
-fewer). Their features are made by Spark; the machine is fitted in NumPy by Adagrad and travels as a
+fewer), each id, label and text once, however often the documents repeat it. Their features are made by Spark; the machine is fitted in NumPy by Adagrad and travels as a
 few arrays of fixed size. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of their statistics. Ids that repeat in the labels with different
 labels give one training row each; null labels or ids are not used. Repeated documents get equal scores. Without training rows every score is
-0.5. A null id is not held out. An empty table gives no rows. Further columns are ignored.
+0.5. A null id is not held out. An empty table gives no rows. Further columns are ignored by `classify` and kept by `filter_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,13 +94,14 @@ class Machine:
         x = self.standardise(stats)
         n = len(x)
         owner = np.repeat(np.arange(n), np.diff(bounds))
-        linear = self.bias + x @ self.weights[BUCKETS:] + np.bincount(owner, self.weights[buckets] * values, minlength=n)
+        dot = lambda a, b: (a * b).sum(axis=1)  # noqa: E731  unlike a matrix product, the same for a row in any batch
+        linear = self.bias + dot(x, self.weights[BUCKETS:]) + np.bincount(owner, self.weights[buckets] * values, minlength=n)
         v = self.factors[BUCKETS:]
         pairs = np.zeros(n)
         for f in range(self.factors.shape[1]):
             each = self.factors[buckets, f] * values
-            total = x @ v[:, f] + np.bincount(owner, each, minlength=n)
-            squares = (x * x) @ (v[:, f] ** 2) + np.bincount(owner, each * each, minlength=n)
+            total = dot(x, v[:, f]) + np.bincount(owner, each, minlength=n)
+            squares = dot(x * x, v[:, f] ** 2) + np.bincount(owner, each * each, minlength=n)
             pairs += total * total - squares
         return linear + 0.5 * pairs
 
@@ -140,10 +141,11 @@ def fit(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], labels: n
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int, folds: int, fold: int) -> DataFrame:
-    """doc_id, label and features of the training sample: at most `sample_rows` labels, joined to their texts before any feature is made."""
+    """doc_id, label, key of the text and features of the training sample: at most `sample_rows` labels meet their texts, and at most as many rows are left."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("label")).where("label_id is not null and label in (0, 1)").where(~held_out(F.col("label_id"), folds, fold))
     chosen = chosen.distinct().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows)
-    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")  # at most sample_rows rows of 12 bytes
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", F.xxhash64("text").alias("key"), "text")  # at most sample_rows rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +153,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int, fol
                 n = len(stats)
                 at = pa.array(bounds.astype(np.int32))
                 flat = pa.array(np.arange(n + 1, dtype=np.int32) * N_STATS)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("label").slice(a, n), pa.ListArray.from_arrays(flat, pa.array(stats.ravel())), pa.ListArray.from_arrays(at, pa.array(buckets)), pa.ListArray.from_arrays(at, pa.array(values))],
-                                                 ["doc_id", "label", "stats", "buckets", "values"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in ("doc_id", "label", "key")), pa.ListArray.from_arrays(flat, pa.array(stats.ravel())), pa.ListArray.from_arrays(at, pa.array(buckets)), pa.ListArray.from_arrays(at, pa.array(values))],
+                                                 ["doc_id", "label", "key", "stats", "buckets", "values"])
 
-    return rows.mapInArrow(run, "doc_id long, label int, stats array<double>, buckets array<int>, values array<float>")
+    made = rows.mapInArrow(run, "doc_id long, label int, key long, stats array<double>, buckets array<int>, values array<float>")
+    once = made.groupBy("doc_id", "label", "key").agg(F.first(F.struct("stats", "buckets", "values")).alias("x"))  # copies of a text have equal features
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "key").limit(sample_rows).select("doc_id", "label", "key", "x.*")
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 4, fold: int = 2, **parameters) -> Machine | None:
@@ -165,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     lists = {c: table.column(c).combine_chunks() for c in ("stats", "buckets", "values")}
     bounds = lists["buckets"].offsets.to_numpy()
     buckets, values = lists["buckets"].values.to_numpy(), lists["values"].values.to_numpy()
-    order = np.lexsort((table.column("label").to_numpy(), table.column("doc_id").to_numpy()))  # the same fit however the rows were dealt out
+    order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("key", "label", "doc_id")))  # the same fit however the rows were dealt out
     words = [(buckets[bounds[i] : bounds[i + 1]], values[bounds[i] : bounds[i + 1]]) for i in order]
     return fit(lists["stats"].values.to_numpy().reshape(-1, N_STATS)[order], words, table.column("label").to_numpy()[order].astype(np.float64), **parameters)
 
@@ -192,6 +196,16 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return score(rows, machine).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def filter_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **parameters) -> DataFrame:
+    """The documents that score at least `threshold`, with their own columns; all of them without a training row, as nothing is known then."""
+    rows = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    machine = train(rows, labels, **parameters)
+    if machine is None:
+        return documents
+    packed = documents.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return score(packed, machine).where(F.col("score") >= threshold).select("row.*")
+
+
 @query("op3_factorisation")
 def op3_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
