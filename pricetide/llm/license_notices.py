@@ -3,7 +3,9 @@
 The text becomes lower-cased words with single blanks. Base labels come from phrases that stand word by word.
 For the notices, k + 1 disjoint pieces of each are exact seeds (with at most k edits one piece is intact); one
 Aho-Corasick automaton finds all phrases and seeds in a single pass. Around each seed the regex library matches
-the whole notice with at most k edits, at word bounds; its verified edits and spans are reported.
+the whole notice with at most k edits, at word bounds. The spans of one notice do not overlap: those with fewest edits
+are taken first, and what is left of a window beside them is searched again. Windows have the length of their notice, so the time
+grows with the text, also where seeds stand close together.
 
 Defined results: null and empty texts have no words, no labels and score 0. Very long texts are read whole.
 Repeated rows are scanned alike; further columns are ignored; an empty table gives no rows.
@@ -11,10 +13,13 @@ Repeated rows are scanned alike; further columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +82,29 @@ def _automaton(phrases: tuple, notices: tuple, chars_per_edit: int):
     return automaton, patterns
 
 
+def notice_spans(pattern, line: str, windows: set[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:  # noqa: ANN001
+    """(start, end, edits) of the matches in the windows that do not overlap, fewest edits first; `least` is the shortest length of a match."""
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def search(a: int, b: int) -> None:
+        if b - a >= least and (match := pattern.search(line, a, b)):
+            heapq.heappush(heap, (sum(match.fuzzy_counts), match.start(), match.end(), a, b))
+
+    for a, b in windows:
+        search(a, b)
+    taken: list[tuple[int, int, int]] = []
+    while heap:
+        edits, start, end, a, b = heapq.heappop(heap)
+        at = bisect_left(taken, (start, start, 0))
+        over = next((t for t in taken[max(at - 1, 0) : at + 1] if t[0] < end and start < t[1]), None)
+        if over is None:
+            insort(taken, (start, end, edits))
+        else:
+            search(a, min(b, over[0]))
+            search(max(a, over[1]), b)
+    return taken
+
+
 def scan_text(text: bytes, phrases: tuple, notices: tuple, chars_per_edit: int) -> tuple:
     """n_words, base places (word, label) in order, and verified notices (word, words, label, edits, similarity)."""
     plain = plain_words(text)
@@ -91,23 +119,18 @@ def scan_text(text: bytes, phrases: tuple, notices: tuple, chars_per_edit: int)
                 places.append((start, what))
             else:
                 _, _, k, size = patterns[number]
-                around.setdefault(number, []).append((max(0, start - what - k - 1), start - what + size + k + 1))
+                around.setdefault(number, set()).add((max(0, start - what - k - 1), min(start - what + size + k + 1, len(line))))
     found = {}
     for number, spans in around.items():
-        pattern, label, _, size = patterns[number]
-        merged: list[list[int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for match in pattern.finditer(line, a, min(b, len(line))):
-                edits = sum(match.fuzzy_counts)
-                found[match.start(), match.end(), label] = min(edits, found.get((match.start(), match.end(), label), edits)), max(0.0, 1 - edits / size)
-    word = lambda at: line.count(" ", 0, at + 1) - 1  # noqa: E731  of the character behind a blank
+        pattern, label, k, size = patterns[number]
+        for start, end, edits in notice_spans(pattern, line, spans, size - k):
+            found[start, end, label] = min(edits, found.get((start, end, label), (edits,))[0]), max(0.0, 1 - edits / size)
+    if not places and not found:
+        return max(n_words, 0), [], []
+    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), dtype="<u4") == 32)
+    word = lambda at: int(np.searchsorted(blanks, at, side="right")) - 1  # noqa: E731  of the character behind a blank
     base = [(word(s), label) for s, label in sorted(places)]
-    notices_found = [(word(s - 1), line.count(" ", s, e) + 1, label, edits, similarity) for (s, e, label), (edits, similarity) in sorted(found.items())]
+    notices_found = [(word(s - 1), word(e - 1) - word(s - 1) + 1, label, edits, similarity) for (s, e, label), (edits, similarity) in sorted(found.items())]
     return max(n_words, 0), base, notices_found
 
 
