@@ -14,7 +14,8 @@ payload's SHA-1 is compared with the one in the header. Only segmented records a
 Defined results: null html counts as empty. A null page id is larger than all others. Rows that repeat page id and payload are
 written each; if they are the smallest of their payload, all of them are responses. A missing segment, a wrong
 total, a broken chunk or a wrong digest gives status ``incomplete``, ``length``, ``framing`` or ``digest``
-instead of ``ok``, with a null payload where it is unknown. An empty table gives an archive without records.
+instead of ``ok``, with a null payload where it is unknown. A record that its file ends in (an archive cut off) is kept with what came and
+its number of missing bytes, and is ``incomplete``; the next file of the task starts anew. An empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ VERSION, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "page_id long, type string, record_id string, target string, refers_to string, digest string, segment int, origin string, total long, block binary"
+RECORD = "page_id long, type string, record_id string, target string, refers_to string, digest string, segment int, origin string, total long, block binary, missing long"
 MESSAGE = "status string, payload binary, payload_bytes long, payload_digest string"
 
 
@@ -130,48 +131,68 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 def _parse(raw: bytes) -> dict:
     """Header fields and block of one record, which starts behind the version line."""
-    head, _, block = raw.partition(b"\r\n\r\n")
+    head, gap, block = raw.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n"):
         key, _, value = line.partition(":")
         fields[key.strip().lower()] = value.strip()
     number = lambda k: int(fields[k]) if fields.get(k, "").isdigit() else None
     length = number("content-length") or 0
+    missing = length - len(block) if gap else max(length, 1)  # without a gap even the header is cut off
     page = fields.get("warc-page-id")
     return {
         "page_id": int(page) if page and page.lstrip("-").isdigit() else None, "type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target": fields.get("warc-target-uri"),
         "refers_to": fields.get("warc-refers-to"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "segment": number("warc-segment-number"),
-        "origin": fields.get("warc-segment-origin-id"), "total": number("warc-segment-total-length"), "block": block[:length], "missing": length - len(block),
+        "origin": fields.get("warc-segment-origin-id"), "total": number("warc-segment-total-length"), "block": block[:length], "missing": max(missing, 0),
     }
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the gzip archives below `folder`: header fields and block."""
+    """Every record of the gzip archives below `folder`: header fields, block, and how many of its bytes the file lacks."""
     separator = GAP + VERSION
-    lines = spark.read.option("lineSep", separator).text(folder).select(F.col("value").cast("binary").alias("raw"))
+    lines = spark.read.option("lineSep", separator).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
     fields = [("page_id", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()),
-              ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary())]
+              ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary()), ("missing", pa.int64())]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        """File and content row by row; paths that repeat are read once."""
+        files = batch.column("file").dictionary_encode()
+        names = files.dictionary.to_pylist()
+        for k, raw in zip(files.indices.to_pylist(), batch.column("raw"), strict=True):
+            yield names[k], raw.as_py()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, open_raw = [], 0, None
+        out, held, pieces, missing, last = [], 0, [], 0, None
+        table = lambda: pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in fields], [n for n, _ in fields])
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                if open_raw is not None:  # the separator stood inside a payload
-                    raw = open_raw + separator.encode() + raw
+            for file, raw in rows(batch):
+                if file != last and pieces:  # the file before ended inside a record
+                    out.append(_parse(separator.encode().join(pieces)))
+                    pieces = []
+                last = file
+                if pieces:  # the separator stood inside a payload
+                    pieces.append(raw)
+                    missing -= len(separator) + len(raw)
+                    if missing > 0:
+                        continue
+                    raw, pieces = separator.encode().join(pieces), []
                 elif raw.startswith(VERSION.encode()):  # the first of a file
                     raw = raw[len(VERSION) :]
                 if not raw:
                     continue
                 record = _parse(raw)
-                open_raw = raw if record["missing"] > 0 else None
-                if open_raw is None:
-                    out.append(record)
-                    held += len(record["block"])
+                if record["missing"]:
+                    pieces, missing = [raw], record["missing"]
+                    continue
+                out.append(record)
+                held += len(record["block"])
                 if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in fields], [n for n, _ in fields])
+                    yield table()
                     out, held = [], 0
+        if pieces:
+            out.append(_parse(separator.encode().join(pieces)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in fields], [n for n, _ in fields])
+            yield table()
 
     return lines.mapInArrow(run, RECORD)
 
@@ -201,15 +222,16 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Responses with their whole messages: continuation records joined to their origin, lengths verified, framing decoded.
 
     Columns: page_id, record_id, target, n_segments, status, payload, payload_bytes, payload_digest."""
-    whole = records.where("type = 'response' and segment is null").select("page_id", "record_id", "target", "digest", F.lit(1).alias("n_segments"), F.lit(None).cast("string").alias("fault"), "block")
+    whole = records.where("(type = 'response' or type is null and missing > 0) and segment is null").select(
+        "page_id", "record_id", "target", "digest", F.lit(1).alias("n_segments"), F.when(F.col("missing") > 0, "incomplete").alias("fault"), F.when(F.col("missing") == 0, F.col("block")).alias("block"))
     parts = records.where("segment is not null and type in ('response', 'continuation')").withColumn("key", F.coalesce("origin", "record_id"))
     groups = parts.groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("segments"), F.max("total").alias("total"),
+        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("segments"), F.max("total").alias("total"), F.max("missing").alias("missing"),
         F.greatest(F.sum(F.when(F.col("segment") == 1, 1).otherwise(0)), F.lit(1)).cast("int").alias("copies"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("page_id", "target", "digest")))
     joined = groups.withColumn("joined", _concat(F.transform("segments", lambda s: s["block"])))
     n = F.size("segments")
-    fault = F.when((F.get("segments", F.lit(0))["segment"] != 1) | (F.get("segments", n - 1)["segment"] != n) | F.col("total").isNull(), "incomplete").when(F.length("joined") != F.col("total"), "length")
+    fault = F.when((F.get("segments", F.lit(0))["segment"] != 1) | (F.get("segments", n - 1)["segment"] != n) | F.col("total").isNull() | (F.col("missing") > 0), "incomplete").when(F.length("joined") != F.col("total"), "length")
     joined = joined.select("page_id", F.col("key").alias("record_id"), "target", "digest", n.alias("n_segments"), fault.alias("fault"), "joined", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
     joined = joined.select("page_id", "record_id", "target", "digest", "n_segments", "fault", F.when(F.col("fault").isNull(), F.col("joined")).alias("block"))
     message = whole.unionByName(joined).withColumn("message", _message_reader()("block", "digest"))
