@@ -7,15 +7,17 @@ these leaves some mask untouched somewhere. Test windows are hashed under every
 size is made; one pass over the corpus hashes every window under every mask and keeps the regions around
 windows in the table. The kept hashes are joined with the test hashes (the join decides, the table only saves
 shuffling), and each (region, item, diagonal) is verified: along the diagonal, tokens are compared and the best
-run with at least `min_identity` equal tokens is taken; it counts if it has `min_overlap` tokens (or the whole item, if that is shorter).
+run with at least `min_identity` equal tokens is taken; it counts if it has `min_overlap` tokens. The whole item with that share of equal
+tokens counts as well, however short it is.
 
-A test item shorter than the longest window is hashed whole, without ignored positions, and must occur exactly; items of
-fewer than `min_item_tokens` tokens are no evidence and are left out.
+A test item shorter than the longest window has masks of its own, with four hashed positions: of 6 to 11 tokens with at most a fifth
+substituted, some placement is left untouched. Below six tokens no substitution leaves enough, and an item is hashed whole and must occur
+exactly; items of fewer than `min_item_tokens` tokens are no evidence and are left out.
 
 Tokens are runs of letters and digits, in lower case.
 
-Defined results: null and empty texts, in corpus or benchmark, never match. Repeated corpus rows are each
-found; repeated items are each reported. Rows with a null doc id are reported under null. An empty table gives no rows.
+Defined results: null and empty texts, in corpus or benchmark, never match. Corpus rows that repeat id and text are
+reported once and all removed by `decontaminate`; repeated items are each reported. Rows with a null doc id are reported under null. An empty table gives no rows.
 Further columns are ignored by the report and kept by `decontaminate`.
 """
 
@@ -36,6 +38,9 @@ from .words import Words, byte_class, chunks, windows
 
 #: Windows of up to twelve tokens, seven of them hashed: together they meet every run that the verifier accepts at MIN_OVERLAP and MIN_IDENTITY.
 MASKS = ("111010111", "110100100111", "1111111", "111010001101", "101111011", "11001110011")
+#: For items of 6 to 11 tokens: together they meet every placement of the substitutions that MIN_IDENTITY allows there.
+SHORT_MASKS = ("1111", "110011")
+SHORT_TOKENS = 6
 MIN_OVERLAP = 12
 MIN_IDENTITY = 0.8
 MIN_ITEM_TOKENS = 6
@@ -68,10 +73,16 @@ def _hash(hashes: np.ndarray, text: np.ndarray, mask: str, salt: int) -> tuple[n
     return (values ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64), starts
 
 
+def masks_of(n: int, masks: tuple[str, ...]) -> list[tuple[str, int]]:
+    """The masks of an item of n tokens, each with the salt of its hashes."""
+    if n >= max(map(len, masks)):
+        return [(m, k) for k, m in enumerate(masks)]
+    return [(m, 100 + k) for k, m in enumerate(SHORT_MASKS)] if n >= SHORT_TOKENS else [("1" * n, 200 + n)]
+
+
 def item_windows(benchmark: DataFrame, masks: tuple[str, ...], min_item_tokens: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(item, item_id, tokens) and (hash, item, item_at, mask) of the items; a short item has one mask of its own length."""
+    """(item, item_id, tokens) and (hash, item, item_at, mask) of the items."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id())
-    span = max(map(len, masks))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,8 +101,8 @@ def item_windows(benchmark: DataFrame, masks: tuple[str, ...], min_item_tokens:
         for batch in batches:
             for item, tokens, n in zip(*(batch.column(c).to_pylist() for c in ("item", "tokens", "n")), strict=True):
                 values = np.frombuffer(tokens, dtype=np.uint64)
-                for k, mask in enumerate(masks if n >= span else ("1" * n,)):
-                    keys, at = _hash(values, np.zeros(n, np.int64), mask, k if n >= span else 100 + n)
+                for mask, salt in masks_of(n, masks):
+                    keys, at = _hash(values, np.zeros(n, np.int64), mask, salt)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), item)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), len(mask), np.int32))], ["hash", "item", "item_at", "span"])
 
     return found, materialize(found.select("item", "tokens", "n").mapInArrow(hashed, "hash long, item long, item_at int, span int"))
@@ -112,7 +123,7 @@ def find_regions(documents: DataFrame, table: bytes, masks: tuple[str, ...], sho
     """Regions of the corpus around windows whose hash is in the table: doc_id, key (of the text), start, tokens, and the windows' places and hashes."""
     held = documents.sparkSession.sparkContext.broadcast(table)
     shift = np.uint64(64 - (bits.bit_length() - 1))
-    kinds = [(m, k) for k, m in enumerate(masks)] + [("1" * n, 100 + n) for n in short_spans]
+    kinds = list(dict.fromkeys(kind for n in (max(map(len, masks)), *short_spans) for kind in masks_of(n, masks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_table = np.frombuffer(held.value, dtype=np.uint64)
@@ -188,7 +199,10 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 text, item = np.frombuffer(tokens, np.uint64), np.frombuffer(item_tokens, np.uint64)
                 lo, hi = max(0, -diagonal), min(n, len(text) - diagonal)
                 equal = text[lo + diagonal : hi + diagonal] == item[lo:hi]
-                a, b = best_run(equal, min_identity if n >= span else 1.0)
+                share = min_identity if n >= SHORT_TOKENS else 1.0
+                a, b = best_run(equal, share)
+                if b - a < min_overlap and hi - lo == n and equal.sum() >= share * n - 1e-9:
+                    a, b = 0, n
                 if b - a >= min(min_overlap, n):
                     out.append((i, start + lo + diagonal + a, lo + a, b - a, int(equal[a:b].sum())))
             rows = pa.array([o[0] for o in out], pa.int64())
