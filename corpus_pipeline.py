@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricetide.llm import byte_bpe, factorisation, jaccard_join, line_frequency, spaced_seeds
 from pricetide.session import ensure_checkpoint_dir
@@ -21,10 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = factorisation.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    if machine is None:  # without a training row nothing is known about quality
-        return docs
-    return factorisation.score(docs, machine, score_col="__score").where(F.col("__score") >= factorisation.THRESHOLD).select(*docs.columns)
+    return factorisation.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
