@@ -95,12 +95,28 @@ def outside_runs(observations: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def missing_from_run(listings: DataFrame, observations: DataFrame, runs: DataFrame) -> DataFrame:
-    """Known listings of each run's store that the run did not observe."""
-    expected = listings.join(runs.select("run_id", "store_id"), "store_id")
-    return expected.join(
-        observations.where("run_id is not null").select("run_id", "listing_id"),
-        ["run_id", "listing_id"], "left_anti",
-    )
+    """Known listings of each run's store that the run did not observe; listings have an id.
+
+    Ids are taken as bits, 64 to a word: words of the store meet words of the run, and only the bits
+    that the run lacks become rows, which fetch their listings by id.
+    """
+    rows = runs.select("run_id", "store_id")
+    known = listings.groupBy("store_id", *_id_word()).agg(_id_bits().alias("known"))
+    seen = observations.join(rows.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id", *_id_word()).agg(_id_bits().alias("seen"))
+    lacking = F.col("known").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
+    words = known.join(rows, "store_id").join(seen, ["run_id", "id_word"], "left").withColumn("lacking", lacking).where("lacking <> 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("lacking", k) == 1)
+    missing = words.select("run_id", "store_id", "id_word", F.explode(bits).alias("bit"))
+    missing = missing.select("run_id", "store_id", (F.shiftleft("id_word", 6) + F.col("bit")).alias("listing_id"))
+    return missing.join(listings, ["store_id", "listing_id"]).select("run_id", *listings.columns)
+
+
+def _id_word() -> list[Column]:
+    return [F.shiftright("listing_id", 6).alias("id_word")]
+
+
+def _id_bits() -> Column:
+    return F.bit_or(F.expr("shiftleft(1L, cast(listing_id & 63 as int))"))
 
 
 def synchronize_active_stores(stores: DataFrame, registry: DataFrame) -> DataFrame:

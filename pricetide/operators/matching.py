@@ -326,7 +326,11 @@ def review_pairs(scored: DataFrame, best: DataFrame, members: DataFrame, limit:
     misses = scored.where("not accepted").select("left_profile", "right_profile", "confidence")
     floor = misses.orderBy(F.desc("confidence")).limit(limit).agg(F.min("confidence").alias("floor"))
     top_near = misses.join(floor, F.col("confidence") >= F.col("floor"))
-    near = top_near.join(left, "left_profile").join(right, "right_profile").where(F.col("left_rank") * F.col("right_rank") <= limit).select(
+    # Ranks are listed before the join, so that only pairs of copies that are kept are formed.
+    copies = low.groupBy(F.col("profile_id").alias("right_profile")).agg(F.max("rank").alias("copies"))
+    ranks = F.sequence(F.lit(1).cast("bigint"), F.least(F.floor(F.lit(limit) / F.col("left_rank")), F.col("copies")))
+    ranked = top_near.join(copies, "right_profile").join(left, "left_profile").withColumn("right_rank", F.explode(ranks))
+    near = ranked.join(right, ["right_profile", "right_rank"]).select(
         "left_id", "right_id", "confidence", F.lit("near_threshold").alias("method")
     )
     doubtful = best.where("ambiguous").select(

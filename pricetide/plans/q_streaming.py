@@ -70,6 +70,14 @@ def stream_availability(t):
     return done(t, S.stream_availability(t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", S.FILES_PER_BATCH).parquet(landed)), "availability")
 
 
+@query("stream_silence", "T5", """with g as (select listing_id, observed_at, lag(observed_at) over w as before, lead(observed_at) over w as after from v_obs window w as (partition by listing_id order by observed_at))
+  select listing_id, observed_at as changed_at, true as is_available from g where before is null or observed_at - before > interval 7 day
+  union all select listing_id, observed_at + interval 7 day, false from g where after - observed_at > interval 7 day
+    or (after is null and observed_at + interval 7 day < (select max(observed_at) - interval 1 hour from v_obs))""")
+def stream_silence(t):
+    return done(t, S.stream_silence(obs_stream(t)), "silence")
+
+
 # Every offer of a watched product with the prices that its five shops have after it (0: not available).
 _SHOPS = "Shop AFRICA", "Shop AMERICA", "Shop ASIA", "Shop EUROPE", "Shop MIDDLE EAST"
 _SHOP_PRICES = ", ".join(f"last_value(case when store_id = {k} then case when obs_id % 11 <> 0 and price > 0 then price else 0 end end ignore nulls) over (w rows between unbounded preceding and current row) as p{k}" for k in range(1, 6))

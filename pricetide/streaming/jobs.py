@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,10 @@ def stream_price_stats(obs: DataFrame, window: str = "1 day", slide: str | None
 
 
 def stream_session_activity(obs: DataFrame, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
-    """Bursts of observations per shop: what a collection run looks like from outside."""
+    """Bursts of observations per shop: what a collection run looks like from outside.
+
+    Each input partition merges its own sessions first, so a shop with most of the rows sends a few partial sessions instead of its rows."""
+    obs.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         obs.withWatermark("observed_at", delay).groupBy(F.session_window("observed_at", gap).alias("s"), "store_id")
         .agg(F.count("*").alias("observations"), F.min("price").alias("min_price"))
@@ -119,6 +123,34 @@ def stream_availability(presence: DataFrame, threshold: int = 2) -> DataFrame:
     return _stateful(rows, ["listing_id"], ["run_seq"], "listing_id bigint, run_seq int, missing_streak int, is_available boolean", "streak int", fold)
 
 
+def stream_silence(obs: DataFrame, silence: str = "7 days", delay: str = "1 hour") -> DataFrame:
+    """When listings come and go, without a row that says so: ``is_available`` true with the first observation, also of a
+    return, and false once nothing was observed for longer than ``silence`` (more than ``delay``).
+
+    A timer in event time fires when the watermark passes the end of the silence. The state of a listing is its last
+    observation and goes when the timer fires, so it never outlives its silence."""
+    limit = pd.Timedelta(silence) // pd.Timedelta(microseconds=1)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last = held.get[0] if held.exists else None
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame({"listing_id": [key[0]], "at": [last + limit], "is_available": [False]})
+            return
+        seen = np.unique(np.concatenate([b["at"].to_numpy() for b in batches]))
+        known = seen if last is None else np.unique(np.append(seen[seen > last], last))
+        breaks = np.flatnonzero(np.diff(known) > limit)
+        back = known[breaks + 1] if last is not None else np.append(known[0], known[breaks + 1])
+        gone = known[breaks] + limit
+        held.update((int(known[-1]),))
+        held.setTimeoutTimestamp(max((int(known[-1]) + limit) // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"listing_id": key[0], "at": np.concatenate([back, gone]), "is_available": np.repeat([True, False], [len(back), len(gone)])})
+
+    rows = obs.withWatermark("observed_at", delay).where("listing_id is not null and observed_at is not null").select("listing_id", "observed_at", F.unix_micros("observed_at").alias("at"))
+    told = rows.groupBy("listing_id").applyInPandasWithState(run, "listing_id bigint, at bigint, is_available boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("listing_id", F.timestamp_micros("at").alias("changed_at"), "is_available")
+
+
 def _watch(minimum_drop: int, ttl: int) -> Callable:
     """Events of one favorite's new offers. State: what was last told, and the current price per shop (JSON)."""
 

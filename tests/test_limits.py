@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pricetide.operators.filters import missing_from_run
 from pricetide.operators.matching import review_pairs
 from pricetide.streaming import jobs
 
@@ -15,6 +16,39 @@ def test_review_limit_orders_by_ids(spark):
         assert got == [(1, 10), (1, 11), (2, 10), (2, 11), (5, 20), (7, 8)][:limit]
 
 
+def test_review_limit_with_many_copies(spark):
+    scored = spark.createDataFrame([(1, 1001, 0.8, False, "m"), (2001, 3001, 0.8, False, "m")], "left_profile long, right_profile long, confidence double, accepted boolean, method string")
+    best = spark.createDataFrame([], "profile_id long, best long, runner_id long, confidence double, runner_confidence double, ambiguous boolean")
+    groups = {1: 40, 1001: 30, 2001: 1, 3001: 50}
+    members = spark.createDataFrame([(p, p + k) for p, n in groups.items() for k in range(n)], "profile_id long, listing_id long")
+    every = sorted((a + i, b + j) for a, b in ((1, 1001), (2001, 3001)) for i in range(groups[a]) for j in range(groups[b]))
+    for limit in (1, 7, 60, 1230, 5000):
+        assert [(r["left_id"], r["right_id"]) for r in review_pairs(scored, best, members, limit).collect()] == every[:limit]
+
+
+def test_missing_from_run_against_sets(spark):
+    ids = [-70, -1, 0, 1, 63, 64, 127, 128, 2**40, -(2**40)]
+    listings = spark.createDataFrame([(i, 1 + k % 2, f"n{i}") for k, i in enumerate(ids)], "listing_id long, store_id long, name string")
+    runs = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 2, "x"), ("d", 2, "x"), ("e", 3, "x")], "run_id string, store_id long, other string")
+    observed = [("a", i) for i in ids[::3]] + [("c", i) for i in ids] + [("b", 999), (None, 0), ("z", 64)]
+    got = [tuple(r) for r in missing_from_run(listings, spark.createDataFrame(observed, "run_id string, listing_id long"), runs).collect()]
+    want = [(r, i, 1 + k % 2, f"n{i}") for r, s in (("a", 1), ("b", 1), ("c", 2), ("d", 2)) for k, i in enumerate(ids) if 1 + k % 2 == s and (r, i) not in observed]
+    assert sorted(got) == sorted(want)
+    assert missing_from_run(listings.limit(0), spark.createDataFrame(observed, "run_id string, listing_id long"), runs).count() == 0
+
+
+def test_silence_ends_by_a_timer(spark, tmp_path):
+    hours = [[(1, 0), (2, 0), (2, 1)], [(2, 5), (3, 6)], [(2, 9), (3, 40), (3, 80)], [(1, 81), (3, 82)]]
+    for k, rows in enumerate(hours):
+        spark.createDataFrame(rows, "listing_id long, h long").select("listing_id", F.timestamp_seconds((F.col("h") + 400_000) * 3600).alias("observed_at")).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    found = []
+    for files in (1, 100):
+        stream = spark.readStream.schema("listing_id long, observed_at timestamp").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in*"))
+        out = jobs.run_available(jobs.stream_silence(stream, "10 hours", "1 hour"), str(tmp_path / f"out{files}"), str(tmp_path / f"marks{files}"))
+        found.append(sorted((r["listing_id"], r["h"], r["is_available"]) for r in out.select("listing_id", (F.unix_seconds("changed_at") / 3600 - 400_000).cast("int").alias("h"), "is_available").collect()))
+    assert found[0] == found[1] == [(1, 0, True), (1, 10, False), (1, 81, True), (2, 0, True), (2, 19, False), (3, 6, True), (3, 16, False), (3, 40, True), (3, 50, False), (3, 80, True)]
+
+
 def test_upsert_goes_on_after_a_restart(spark, tmp_path):
     source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
 
