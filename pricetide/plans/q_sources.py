@@ -149,14 +149,75 @@ def extract_cards(t):
     return html.extract_cards(page_of(t, block), html.PROFILES["shop_card"], HOST).select("name", "url", "current_price", "regular_price")
 
 
-@query("extract_cards_last_price", "S9", _CARDS.format(folder="/product", current="price", regular="case when regular_price > price then regular_price end", where="price between 500 and 1000000 and regular_price between 500 and 1000000"))
+# The prices of a card that a profile takes, in reading order.
+_BOUNDED = "(select *, list_filter([regular_price, price], lambda x: x between {low} and {high}) as a from v_offer_rows where {where})"
+_BOUNDED_CARDS = "select 'Item K' || part_id as name, 'https://shop.example.com{folder}/item-' || listing_id as url, list_min(a) as current_price, case when list_max(a) > list_min(a) then list_max(a) end as regular_price from " + _BOUNDED + " where len(a) > 0"
+
+
+@query("extract_cards_last_price", "S9", "select 'Item K' || part_id as name, 'https://shop.example.com/product/item-' || listing_id as url, a[-1] as current_price, case when len(a) > 1 and a[-2] > a[-1] then a[-2] end as regular_price from "
+       + _BOUNDED.format(low=500, high=1_000_000, where="true") + " where len(a) > 0")
 def extract_cards_last_price(t):
     block = F.concat(F.lit("<li class='grid product'><a href='"), link("product"), F.lit("?x=1'><h2 class='woocommerce-loop-product__title'>"), "title", F.lit("</h2></a><span>"),
                      format_money(F.col("regular_price")), F.lit("</span><span>"), format_money(F.col("price")), F.lit("</span></li>"))
-    kept = offers(t).where("price between 500 and 1000000 and regular_price between 500 and 1000000")
-    cards = kept.withColumn("card", block)
-    one = cards.select(F.lit("shop").alias("store"), F.lit("p").alias("url"), F.concat(F.lit("<ul>"), "card", F.lit("</ul>")).alias("body"))
-    return html.extract_cards(one, html.PROFILES["grid_last_price"], HOST).select("name", "url", "current_price", "regular_price")
+    return html.extract_cards(page_of(t, block), html.PROFILES["grid_last_price"], HOST).select("name", "url", "current_price", "regular_price")
+
+
+def listed_pages(t, folder, block):
+    """Pages whose grid begins with links that are no cards, as a menu of categories."""
+    menu = "".join(f"<a href='{folder}/lead-{k}'></a>" for k in range(5))
+    return page_of(t, block).withColumn("body", F.replace("body", F.lit("<div class='grid'>"), F.lit(f"<div class='grid'>{menu}")))
+
+
+def cards_of(t, profile, folder, block):
+    return html.extract_cards(listed_pages(t, folder, block), html.PROFILES[profile], HOST).select("name", "url", "current_price", "regular_price")
+
+
+def prices(between=" ", around="b"):
+    return F.concat(tag("s", format_money(F.col("regular_price"))), F.lit(between), tag(around, format_money(F.col("price"))))
+
+
+@query("extract_cards_unit_priced", "S9", _BOUNDED_CARDS.format(folder="/productos", low=500, high=2_000_000, where="available"))
+def extract_cards_unit_priced(t):
+    block = F.concat(F.lit("<li><a href='"), link("productos"), F.lit("'>"), tag("span", F.col("title"), " class='product-name'"), F.lit("</a>"), prices(), F.lit(" <small>$ 7.777 x litro</small>"),
+                     F.when(F.col("available"), "").otherwise("<i>Producto no disponible</i>"), F.lit("</li>"))
+    return cards_of(t, "unit_priced", "/productos", block)
+
+
+@query("extract_cards_heading_quantity", "S9", _BOUNDED_CARDS.format(folder="", low=100, high=20_000_000, where="available"))
+def extract_cards_heading_quantity(t):
+    block = F.concat(F.lit("<div><a href='/item-"), F.col("listing_id").cast("string"), F.lit("'>"), tag("h3", F.col("title")), F.lit("</a>"), prices(),
+                     F.when(F.col("available"), "<label>Cantidad</label><i>No disponible en tienda</i>").otherwise("<i>No disponible</i>"), F.lit("</div>"))
+    return cards_of(t, "heading_quantity", "", block)
+
+
+@query("extract_cards_heading_cart", "S9", _BOUNDED_CARDS.format(folder="/tienda", low=100, high=20_000_000, where="available"))
+def extract_cards_heading_cart(t):
+    block = F.concat(F.lit("<div><a href='"), link("tienda"), F.lit("'>"), tag("h2", F.col("title")), F.lit("</a>"), prices("<br>", "p"), F.when(F.col("available"), "<button>Agregar</button>").otherwise("<b>Sin stock</b>"), F.lit("</div>"))
+    return cards_of(t, "heading_cart", "/tienda", block)
+
+
+@query("extract_cards_litre_priced", "S9", _BOUNDED_CARDS.format(folder="/products", low=100, high=20_000_000, where="listing_id % 7 <> 3"))
+def extract_cards_litre_priced(t):
+    name = F.concat("title", F.when(F.col("listing_id") % 7 == 3, " Grabada").otherwise(""))
+    block = F.concat(F.lit("<li><a href='"), link("products"), F.lit("'>"), tag("h3", name), F.lit("</a>"), prices(), F.lit(" <small>$9.999 / litro</small></li>"))
+    return cards_of(t, "litre_priced", "/products", block)
+
+
+def shop_items(t):
+    block = F.concat(F.lit("<div class='box item'><a href='"), link("producto"), F.lit("' title='"), "title", F.lit("'><img alt='photo'></a>"), prices(), F.lit("</div>"))
+    return listed_pages(t, "/producto", block)
+
+
+@query("extract_cards_shop_item", "S9", _BOUNDED_CARDS.format(folder="/producto", low=100, high=20_000_000, where="true"))
+def extract_cards_shop_item(t):
+    return html.extract_cards(shop_items(t), html.PROFILES["shop_item"], HOST).select("name", "url", "current_price", "regular_price")
+
+
+@query("explode_cards", "S9", "select store_id, 'Item K' || part_id as name, '/producto/item-' || listing_id as href from " + _BOUNDED.format(low=100, high=20_000_000, where="true") + " where len(a) > 0")
+def explode_cards(t):
+    html.register_explode_cards(t.spark, html.PROFILES["shop_item"])
+    shop = F.regexp_extract("url", r"com/(\d+)/", 1).cast("bigint").alias("store_id")
+    return t.spark.sql("select p.url, c.name, c.href from {pages} p, lateral explode_cards(p.body) c", pages=shop_items(t)).select(shop, "name", "href")
 
 
 @query("extract_cards_club", "S9", _CARDS.format(folder="/products", current="price", regular="null::bigint", where="available"))

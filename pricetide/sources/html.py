@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions.money import PRICE_HIGH, PRICE_LOW, UNIT_PRICE_PATTERNS, discount_pct, price_values
@@ -27,10 +27,11 @@ _SILENT = frozenset(("script", "style"))
 class Node:
     """One element: tag, attributes, children (nodes and text)."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "_text")
+    __slots__ = ("tag", "attrs", "parent", "children", "_text", "size", "links", "anchor")
 
     def __init__(self, tag: str, attrs: dict, parent):
         self.tag, self.attrs, self.parent, self.children, self._text = tag, attrs, parent, [], None
+        self.size, self.links, self.anchor = 0, 0, None
 
     def text(self) -> str:
         """Visible text; texts below are made first, by a stack, however deep the page is."""
@@ -141,21 +142,36 @@ def _amounts(text: str, profile: CardProfile) -> list[int]:
     return [int(d) for d in digits if d and profile.low <= int(d) <= profile.high]
 
 
+def _is_product_link(node: Node, profile: CardProfile) -> bool:
+    return node.tag == "a" and bool(node.attrs.get("href")) and re.search(profile.link_pattern, node.attrs["href"], re.I) is not None
+
+
 def _product_links(node: Node, profile: CardProfile) -> list[Node]:
-    return [n for n in node.walk() if n.tag == "a" and n.attrs.get("href") and re.search(profile.link_pattern, n.attrs["href"], re.I)]
+    return [n for n in node.walk() if _is_product_link(n, profile)]
+
+
+def _measure(root: Node, profile: CardProfile) -> None:
+    """One pass over the page: the link around each node, then bottom-up its number of product links and the length of its text."""
+    nodes = list(root.walk())
+    for node in nodes:
+        if node.parent is not None:
+            node.anchor = node.parent if node.parent.tag == "a" else node.parent.anchor
+    for node in reversed(nodes):
+        node.links = int(_is_product_link(node, profile)) + sum(c.links for c in node.children if not isinstance(c, str))
+        sizes = [len(" ".join(c.replace("\xa0", " ").split())) if isinstance(c, str) else 0 if c.tag in _SILENT else c.size for c in node.children]
+        node.size = sum(sizes) + max(sum(n > 0 for n in sizes) - 1, 0)
 
 
 def _card_around(node: Node, profile: CardProfile) -> Node:
     """Outermost acceptable ancestor, up to the first one that is a card by itself."""
     card, parent = node, node.parent
     while parent is not None and parent.tag not in ("body", "html", "[document]"):
-        text = parent.text()
-        # Ancestors only get longer: beyond the limit none can be accepted.
-        if len(text) > profile.max_text:
+        # Ancestors only get longer and have more links: beyond a limit none can be accepted.
+        if parent.size > profile.max_text or (profile.max_links is not None and parent.links > profile.max_links):
             break
-        few = profile.max_links is None or len(_product_links(parent, profile)) <= profile.max_links
+        text = parent.text()
         alone = profile.code_pattern is None or len(re.findall(profile.code_pattern, text)) <= 1
-        if few and alone and _amounts(text, profile):
+        if alone and _amounts(text, profile):
             card = parent
             lowered = text.casefold()
             if parent.tag in ("article", "li") or any(c in parent.classes() for c in profile.stop_classes) or any(w in lowered for w in profile.stop_words):
@@ -183,10 +199,7 @@ def _starts(root: Node, profile: CardProfile) -> Iterator[tuple[Node, Node | Non
     elif profile.start == "heading":
         for node in root.walk():
             if node.tag in _HEADINGS[1:]:
-                above = node.parent
-                while above is not None and above.tag != "a":
-                    above = above.parent
-                yield node, above, node
+                yield node, node.anchor, node
     else:
         for node in root.walk():
             if any(isinstance(c, str) and re.search(profile.code_pattern, c) for c in node.children):
@@ -200,6 +213,7 @@ def _cards(html: str, profile: CardProfile) -> Iterator[tuple[str, str, str, str
         wanted = set(profile.whole_card_classes)
         starts = ((node, None, None) for node in root.walk() if wanted & set(node.classes().split()))
     else:
+        _measure(root, profile)
         starts = _starts(root, profile)
     for node, link, heading in starts:
         card = node if profile.whole_card_classes else _card_around(node, profile)
@@ -219,6 +233,18 @@ def _cards(html: str, profile: CardProfile) -> Iterator[tuple[str, str, str, str
         yield (link.attrs["href"] if link is not None else f"?q={code.group(1)}"), name, text, code.group(1) if code else None
 
 
+def register_explode_cards(spark: SparkSession, profile: CardProfile, name: str = "explode_cards") -> None:
+    """Make the cards of a page a table function of SQL: ``from pages p, lateral explode_cards(p.body)``."""
+
+    @F.udtf(returnType="seq int, href string, name string, text string, sku string")
+    class Cards:
+        def eval(self, body: str) -> Iterator[tuple]:
+            for seq, (href, title, text, code) in enumerate(_cards(body, profile)):
+                yield seq, href, title, text, code
+
+    spark.udtf.register(name, Cards)
+
+
 def extract_cards(pages: DataFrame, profile: CardProfile, rules: UrlRules = UrlRules()) -> DataFrame:
     """Listings of catalog pages (``store, url, body``) of one style."""
 

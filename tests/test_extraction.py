@@ -1,6 +1,7 @@
 """Pages and JSON bodies that real shops serve: deep, with short names, encoded slugs, prices in other places."""
 
 import json
+import time
 
 from pricetide.sources import html, json_products
 from pricetide.sources.html import parse_html
@@ -31,6 +32,23 @@ def test_cards_of_a_deep_page(spark):
     assert [(r["name"], r["current_price"]) for r in rows] == [("Long name", 5990)]
 
 
+def test_many_cards_and_deep_cards_in_linear_time():
+    card = "<div><div><a href='/productos/x{k}'><span class='product-name'>Name {k}</span></a></div><b>$5.990</b></div>"
+    began = time.monotonic()
+    many = list(html._cards("<div>" + "".join(card.replace("{k}", str(k)) for k in range(10_000)) + "</div>", html.PROFILES["unit_priced"]))
+    deep = list(html._cards("<div>" * 20_000 + card.replace("{k}", "1"), html.PROFILES["unit_priced"]))
+    assert [name for _, name, _, _ in many] == [f"Name {k}" for k in range(10_000)] and len(deep) == 1
+    assert time.monotonic() - began < 20
+
+
+def test_measures_equal_texts_and_links():
+    profile = html.PROFILES["shop_item"]
+    root = parse_html("<div> a <p>b\xa0 c</p><script>no</script><style>x</style><i> </i><a href='/producto/1'>d<b>e</b></a><a href='/other'>f</a></div> tail")
+    html._measure(root, profile)
+    for node in root.walk():
+        assert node.size == len(node.text()) and node.links == len(html._product_links(node, profile))
+
+
 def test_json_ld_goes_on_after_a_short_name(spark):
     rows = json_products.extract_json_ld(page(spark, script([product("ab", 900), product("Whole name", 1200, highPrice="1500,00")]))).collect()
     assert [(r["name"], r["current_price"], r["regular_price"]) for r in rows] == [("Whole name", 1200, 1500)]
