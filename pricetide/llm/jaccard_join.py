@@ -274,6 +274,20 @@ def _verify(pairs: DataFrame, classes: DataFrame, n: int, numerator: int, denomi
     return both.select("left_id", "right_id", "left", "right").mapInArrow(run, "left_id long, right_id long")
 
 
+def _merge(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """cls, component_id after further links: only components that a link meets are joined anew, each as one vertex."""
+    if links.isEmpty():
+        return joined
+    between = links
+    for side in ("left_id", "right_id"):
+        between = between.join(joined.select(F.col("cls").alias(side), F.col("component_id").alias("at")), side, "left").withColumn(side, F.coalesce("at", side)).drop("at")
+    merged = materialize(connected_components(between).select(F.col("listing_id").alias("before"), F.col("component_id").alias("after")))
+    # A component is named by its least class, so the least name is the name of what is merged.
+    kept = joined.join(merged, F.col("component_id") == F.col("before"), "left").select("cls", F.coalesce("after", "component_id").alias("component_id"))
+    fresh = merged.join(joined.select(F.col("cls").alias("before")), "before", "left_anti").select(F.col("before").alias("cls"), F.col("after").alias("component_id"))
+    return materialize(kept.unionByName(fresh))
+
+
 def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
                    max_matches: int = MAX_MATCHES, verify_cost: float = VERIFY_COST) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), row_key (of id and text), and one, two (equal for equal word sequences)."""
@@ -317,8 +331,10 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     for second in (False, True, True):
         more = materialize(compare_with_hub(with_components(prefixes, joined), second).join(tried, ["left_id", "right_id"], "left_anti"))
         tried = tried.unionByName(more)
-        links = materialize(links.unionByName(_verify(more, classes, n, numerator, denominator)))
-        joined = materialize(connected_components(links).withColumnRenamed("listing_id", "cls"))
+        further = materialize(_verify(more, classes, n, numerator, denominator))
+        if second and further.isEmpty():
+            break  # the components and so the hubs stay as they are
+        joined = _merge(joined, further)
 
     # Then all pairs that are left between the components of a list, counted before they are verified.
     # The smaller class of a pair meets the other with its shorter prefix only, and sketches of the whole sets rule out most pairs
@@ -331,9 +347,7 @@ def link_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = left.join(right, "token").where(apart).groupBy("cls", "cls2").agg(F.count("*").alias("shared"), F.first("matches").alias("matches"), F.first("matches2").alias("matches2"))
     pairs = pairs.where(F.col("shared") >= F.least("matches", "matches2")).select(F.col("cls").alias("left_id"), F.col("cls2").alias("right_id"))
     last = _verify(pairs.join(tried, ["left_id", "right_id"], "left_anti"), classes, n, numerator, denominator)
-    links = materialize(links.unionByName(last))
-
-    components = connected_components(links).withColumnRenamed("listing_id", "cls")
+    components = _merge(joined, materialize(last))
     smallest = members.groupBy("one", "two").agg(F.min("doc_id").alias("least_id"))
     placed = classes.select("one", "two", "cls").join(smallest, ["one", "two"]).join(components, "cls", "left").withColumn("component", F.coalesce("component_id", "cls"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
