@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import format_money, unit_clamp
+from .money import fixed_text, format_money, unit_clamp
 
 # Component weights of the two score versions.
 V1_WEIGHTS = {"market_saving": 0.35, "history_position": 0.30, "match_confidence": 0.15,
@@ -100,7 +100,7 @@ def commercial_signal(
     share = gap / previous_min
 
     def percent(c: Column, digits: int = 1) -> Column:
-        return F.format_string(f"%.{digits}f%%", c * 100)
+        return F.concat(fixed_text(c * 100, digits), F.lit("%"))
 
     # The wording of a reason.
     reason = (

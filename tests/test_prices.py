@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pricetide.functions import money as M
 from pricetide.functions import scoring as K
 from pricetide.operators import comparison as C
 from pricetide.operators import history as H
@@ -120,3 +121,11 @@ def test_availability_needs_two_healthy_misses(spark):
     got = Q.replay_availability(spark.createDataFrame(rows, "listing_id bigint, run_seq int, observed boolean, is_healthy boolean")).orderBy("run_seq").collect()
     assert [r["is_available"] for r in got] == [True, True, True, False, True]
     assert [r["missing_streak"] for r in got] == [0, 1, 1, 2, 0]
+
+
+def test_percentages_round_as_printed_floats(spark):
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 12.35, 12.25, 12.5, 13.5, 14.499999999999998, 0.5, 99.95, 1.45, 2.675] + [i / 40 * 100 for i in range(41)] + [i / 800 * 100 for i in range(0, 801, 7)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", M.fixed_text(F.col("v")).alias("tenths"), M.fixed_text(F.col("v"), 0).alias("whole")).collect()
+    assert [(r["tenths"], r["whole"]) for r in rows] == [(f"{r['v']:.1f}", f"{r['v']:.0f}") for r in rows]
+    row = spark.range(1).select(K.commercial_signal(*(F.lit(v) for v in (479, 479, 400, 16, 0.125, 0.9, 0.5)))["intelligence_reason"].alias("r")).first()
+    assert "sólo 12% de 16" in row["r"]
