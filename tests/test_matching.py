@@ -148,3 +148,19 @@ def test_pair_counter_with_long_names(spark):
     sigs = [(r["store_id"], set(r["sig"]["core_tokens"])) for r in signed.collect()]
     want = sum(1 for (s, x), (t, y) in combinations(sigs, 2) if s != t and x & y)
     assert M.candidate_pair_count(signed).first()["candidate_pairs"] == want
+
+
+def test_new_products_are_told_by_the_join_not_by_their_id(spark):
+    from types import SimpleNamespace
+
+    from pricetide.functions.text import normalized_key
+    from pricetide.plans.q_identity import repair_pack_identity
+
+    # Names whose hashed product ids look like those of known packs.
+    hashed = F.xxhash64(normalized_key(F.col("name"))).bitwiseAND(0x7FFFFFFFFFFFFFFF)
+    named = spark.range(200000).select(F.concat(F.lit("Gin Norte k"), F.col("id").cast("string"), F.lit(" 750 ml X6")).alias("name")).where(hashed.between(900000000000, 999999999999999))
+    pack = named.first()["name"]
+    rows = [(11, 1, 1, 2, pack, 100, 1), (12, 2, 1, 3, "Gin Norte Solo 750 ml", 100, 1)]
+    catalog = spark.createDataFrame(rows, "listing_id bigint, store_id int, part_id bigint, master_id bigint, name string, data_quality_score int, package_quantity int")
+    found = {r["listing_id"]: (r["known_master_id"], r["relinked"]) for r in repair_pack_identity(SimpleNamespace(v_catalog=catalog, v_names=catalog)).collect()}
+    assert found == {11: (None, True), 12: (2, False)}
