@@ -31,6 +31,8 @@ OFFER_CURRENT_KEYS = ("price", "lowPrice", "salePrice")
 OFFER_REGULAR_KEYS = ("highPrice", "regularPrice", "listPrice")
 REGULAR_SPECIFICATION = "list|regular|strikethrough"
 
+#: Documents whose members are held as Python objects.
+DOCUMENTS_AT_ONCE = 32
 #: Places in a table: the key counts more than the member inside its value.
 _STEP = 10
 
@@ -96,11 +98,15 @@ def node_lists(table: dict[str, tuple[str, int]], levels: int, wanted: Callable[
 
     @F.arrow_udf(_NODES)
     def nodes(texts: pa.Array) -> pa.Array:
-        out = []
-        for documents in texts.to_pylist():
-            found = (node for text in documents or () for node in objects(_parsed(text), max_depth) if wanted(node))
-            out.append([{"seq": seq, "members": members(node, table, levels)} for seq, node in enumerate(found)])
-        return pa.array(out, _ARROW_NODES)
+        done = []
+        # Members are dictionaries only for so many documents at a time; then they are Arrow columns.
+        for start in range(0, len(texts), DOCUMENTS_AT_ONCE):
+            out = []
+            for documents in texts.slice(start, DOCUMENTS_AT_ONCE).to_pylist():
+                found = (node for text in documents or () for node in objects(_parsed(text), max_depth) if wanted(node))
+                out.append([{"seq": seq, "members": members(node, table, levels)} for seq, node in enumerate(found)])
+            done.append(pa.array(out, _ARROW_NODES))
+        return pa.concat_arrays(done) if done else pa.array([], _ARROW_NODES)
 
     return nodes
 

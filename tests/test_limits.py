@@ -78,3 +78,43 @@ def test_state_is_carried_between_batches(spark, tmp_path):
             found[name, job.__name__] = sorted(tuple(r) for r in got.collect())
     assert found["once", "stream_price_changes"] == found["each", "stream_price_changes"] == [(3, 1, 9, 3), (4, 0, 5, 3), (5, 1, 3, 8), (6, 0, 3, 1), (7, 1, 8, 7)]
     assert found["once", "stream_running_min"] == found["each", "stream_running_min"] == [(3, 1, 9, 3), (4, 0, 5, 3), (6, 0, 3, 1)]
+
+
+def test_members_of_many_documents_are_not_held_at_once(spark):
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pricetide.sources import json_products as J
+
+    body = json.dumps([{"name": f"Item {k}", "url": f"/producto/{k}", "price": k, "amount": k} for k in range(60)])
+    read = J.node_lists(J.PRODUCT_MEMBERS, 3, lambda node: "name" in node, None).func
+    peaks = []
+    for n in (40, 400):
+        texts = pa.array([[body]] * n)
+        tracemalloc.start()
+        found = read(texts)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == n and all(len(x) == 60 for x in found)
+    assert peaks[1] < 2 * peaks[0]
+
+
+def test_pages_leave_no_trees_behind():
+    import gc
+
+    import pandas as pd
+
+    from pricetide.sources import html as H
+
+    page = "".join(f"<li><a href='/producto/item-{k}'><h3>Item {k}</h3></a><b>$9.990</b></li>" for k in range(20))
+    gc.collect()
+    gc.disable()
+    try:
+        assert sum(len(list(H._cards(page, H.PROFILES["shop_card"]))) for _ in range(20)) == 400
+        alive = sum(isinstance(x, H.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
+    assert alive < 200
+    assert [len(b) for b in H._pages(iter([pd.DataFrame({"body": [page] * 70})]))] == [32, 32, 6]
