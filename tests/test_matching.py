@@ -123,6 +123,28 @@ def test_candidates_lose_no_pair(spark):
     assert got == want and len(want) > 20
 
 
+def test_near_copies_do_not_form_all_pairs(spark):
+    """Copies of a product whose names differ in one word: only pairs that decide something are formed."""
+    rows = [(i * 10 + shop, shop, i, f"Absolut Gin Norte k7 m{i} Reserva 2019 750 ml", None, None) for i in range(30) for shop in (1, 2, 3)]
+    plan = M.MatchPlan(listings(spark, rows))
+    assert plan.deciding.count() == 30 * 3 and plan.accepted.count() > 3 * 30 * 3
+    assert edges(plan.candidates) == {(i * 10 + a, i * 10 + b): (1.0, "alias_exact") for i in range(30) for a, b in ((1, 2), (1, 3), (2, 3))}
+
+
+def test_deciding_pairs_give_what_all_pairs_give(spark):
+    random.seed(11)
+    words = ["norte", "sur", "valle", "azul", "sol", "luna", "rio", "alto", "2019", "2020"]
+    rows = [(i, i % 3, i, "Absolut " + " ".join(random.sample(words, random.randint(2, 6))) + random.choice(["", " 40%", " 45%"]) + " 750 ml", None, None) for i in range(90)]
+    plan = M.MatchPlan(listings(spark, rows), similarity="levenshtein")
+    full = M.best_per_store(plan.scored, plan.profiles, plan.members)
+    want = edges(M.reciprocal_best(plan.scored, full))
+    assert edges(plan.candidates) == want and len(want) > 5
+    told = lambda best: {(r["profile_id"], r["other_store"], r["best"], r["ambiguous"], r["runner_id"] if r["ambiguous"] else None) for r in best.collect()}
+    assert told(plan.clear) == told(full) == told(plan.best)
+    listed = lambda df: [(r["left_id"], r["right_id"], round(r["confidence"], 9), r["method"]) for r in df.collect()]
+    assert listed(plan.reviews(3)) == listed(M.review_pairs(plan.scored, full, plan.members, 3))
+
+
 def test_components_against_union_find(spark):
     random.seed(3)
     pairs = [(random.randint(1, 300), random.randint(1, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
