@@ -145,6 +145,18 @@ def test_deciding_pairs_give_what_all_pairs_give(spark):
     assert listed(plan.reviews(3)) == listed(M.review_pairs(plan.scored, full, plan.members, 3))
 
 
+def test_pair_counter_forms_no_pairs(spark):
+    """A common word in every name: all pairs of shops count, by subsets of words."""
+    random.seed(9)
+    words = [f"w{chr(97 + i)}" for i in range(9)]
+    rows = [(i, i % 4, i, "comun " + " ".join(random.sample(words, random.randint(1, 5))) + " 750 ml", None, None) for i in range(400)]
+    signed = M.signed(listings(spark, rows))
+    sizes = [sum(1 for i in range(400) if i % 4 == s) for s in range(4)]
+    count = M.candidate_pair_count(signed)
+    assert count.first()["candidate_pairs"] == sum(a * b for a, b in combinations(sizes, 2))
+    assert M.SUBSET_WORDS < 13  # the test of long names takes both ways
+
+
 def test_components_against_union_find(spark):
     random.seed(3)
     pairs = [(random.randint(1, 300), random.randint(1, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
