@@ -35,8 +35,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SLICE_CHARS = 1 << 19
 
 
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, and words that the library keeps besides.
+KEPT_WORDS, LIBRARY_WORDS = 200_000, 20_000
 
 
 def byte_characters() -> list[str]:
@@ -73,7 +73,7 @@ class Codec:
         names = byte_characters()
         spelled = lambda token: "".join(names[b] for b in token)
         merges = [merge_of(t, ranks) for t in sorted(ranks, key=ranks.__getitem__) if len(t) > 1]
-        self.tokenizer = Tokenizer(models.BPE({spelled(t): r for t, r in ranks.items()}, [(spelled(m[0]), spelled(m[1])) for m in merges if m], ignore_merges=True, cache_capacity=200_000))
+        self.tokenizer = Tokenizer(models.BPE({spelled(t): r for t, r in ranks.items()}, [(spelled(m[0]), spelled(m[1])) for m in merges if m], ignore_merges=True, cache_capacity=LIBRARY_WORDS))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         byte_of = {c: b for b, c in enumerate(names)}
         self.token_bytes = [b""] * (max(ranks.values()) + 1)

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -86,3 +87,17 @@ def test_oracle(spark, folder, name):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_bound_their_batches(spark, monkeypatch):
+    """A stage's Arrow batches are bounded by bytes: the texts of a partition are not one batch."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(byte_bpe, "round_trip", lambda docs, **_: docs.mapInArrow(sizes, "size long"))
+    docs = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "repeat('word ', 20000) as text")
+    found = [r["size"] for r in corpus_pipeline.tokens(spark, docs, "").collect()]
+    assert sum(found) >= 30_000_000 and max(found) < 10_000_000
