@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.money import PRICE_HIGH, PRICE_LOW, discount_pct, price_values
-from pricetide.functions.text import ascii_fold, normalize_spaces
+from pricetide.functions.text import ascii_fold, bind, normalize_spaces
 from pricetide.functions.urls import UrlRules, canonical_url
 
 from .pages import page_text
@@ -186,25 +186,30 @@ def extract_json_ld(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame
                       everything(r"(?is)<(?!meta\b)[a-z][\w-]*\b(?=[^>]*itemprop=[\"']price[\"'])(?=[^>]*content=[\"'])[^>]*content=[\"']([^\"']*)[\"']"),
                       everything(r"(?is)<(?!meta\b)[a-z][\w-]*\b(?=[^>]*itemprop=[\"']price[\"'])(?![^>]*content=[\"'][^\"'])[^>]*>([^<]*)<"))
     slug = F.regexp_replace(F.try_url_decode(F.regexp_extract("url", r"([^/?#]+)/?(?:[?#].*)?$", 1)), r"^\d+-", "")
-    read = pages.select(
-        "store", "url", node_lists(JSON_LD_MEMBERS, 3, _is_product, None)(everything(r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script>")).alias("nodes"),
-        F.regexp_extract("body", attribute.format("og:title|twitter:title"), 1).alias("title"), marked.alias("marked"), price_values(page_text(F.col("body"))).alias("amounts"),
+    read = pages.select("store", "url", "body", node_lists(JSON_LD_MEMBERS, 3, _is_product, None)(everything(r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script>")).alias("nodes"))
+    page = F.struct(
+        "nodes", F.regexp_extract("body", attribute.format("og:title|twitter:title"), 1).alias("title"), marked.alias("marked"), price_values(page_text(F.col("body"))).alias("amounts"),
         F.initcap(normalize_spaces(F.translate(slug, "+-", "  "))).alias("slug_name"))
 
-    def named(text: Column) -> Column:
-        name = normalize_spaces(F.coalesce(text, F.lit("")))
-        return F.when(ascii_fold(name).isin("", "undefined", "producto"), F.col("slug_name")).otherwise(name)
+    def named(text: Column, slug_name: Column) -> Column:
+        return bind(normalize_spaces(F.coalesce(text, F.lit(""))), lambda name: F.when(ascii_fold(name).isin("", "undefined", "producto"), slug_name).otherwise(name))
 
-    def offer(node: Column) -> Column:
+    def offer(node: Column, slug_name: Column) -> Column:
         listed = lambda m: F.lower(m["label"]).rlike(REGULAR_SPECIFICATION)
         amounts = lambda array: F.filter(F.transform(array, lambda m: _amount(m, True)), lambda a: a.isNotNull())
         asked = F.filter(node["members"], lambda m: (m["role"] == "current") | ((m["role"] == "specified") & ~listed(m)))
-        return F.struct(named(_first_text(node, "name")).alias("name"), _first_text(node, "href").alias("own"), F.array_min(amounts(asked)).alias("low"),
+        return F.struct(named(_first_text(node, "name"), slug_name).alias("name"), _first_text(node, "href").alias("own"), F.array_min(amounts(asked)).alias("low"),
                         F.array_max(amounts(F.filter(node["members"], lambda m: m["role"].isin("current", "regular", "specified")))).alias("high"))
 
-    whole = F.filter(F.transform("nodes", offer), lambda o: o["low"].isNotNull() & (F.length(o["name"]) >= 3))
-    plain = F.filter(F.transform("marked", lambda text: _amount(F.struct(F.lit("text").alias("kind"), text.alias("text")), True)), lambda a: a.isNotNull())
-    shown = F.when(F.size(plain) > 0, plain).otherwise(F.col("amounts").cast("array<bigint>"))
-    fallback = F.struct(named(F.col("title")).alias("name"), F.lit(None).cast("string").alias("own"), F.array_min(shown).alias("low"), F.array_max(shown).alias("high"))
-    best = read.select("store", "url", F.coalesce(F.get(whole, F.lit(0)), fallback).alias("o")).where("o.low is not null and length(o.name) >= 3")
-    return _finish(best.select("store", F.lit(0).alias("seq"), "o.name", F.coalesce("o.own", "url").alias("href"), F.col("o.low").alias("current_price"), F.when(F.col("o.high") > F.col("o.low"), F.col("o.high")).alias("regular_price")), rules)
+    readable = lambda o: o["low"].isNotNull() & (F.length(o["name"]) >= 3)
+
+    def listing(page: Column) -> Column:
+        whole = F.filter(F.transform(page["nodes"], lambda node: offer(node, page["slug_name"])), readable)
+        plain = F.filter(F.transform(page["marked"], lambda text: _amount(F.struct(F.lit("text").alias("kind"), text.alias("text")), True)), lambda a: a.isNotNull())
+        shown = bind(plain, lambda p: F.when(F.size(p) > 0, p).otherwise(page["amounts"].cast("array<bigint>")))
+        fallback = bind(shown, lambda p: F.struct(named(page["title"], page["slug_name"]).alias("name"), F.lit(None).cast("string").alias("own"), F.array_min(p).alias("low"), F.array_max(p).alias("high")))
+        return F.coalesce(F.get(whole, F.lit(0)), fallback)
+
+    # Read and filtered inside the array, once a page: a filter behind a projection would be pushed below it and read the page again for each use.
+    best = read.select("store", "url", F.inline(F.filter(F.transform(F.array(page), listing), readable)))
+    return _finish(best.select("store", F.lit(0).alias("seq"), "name", F.coalesce("own", "url").alias("href"), F.col("low").alias("current_price"), F.when(F.col("high") > F.col("low"), F.col("high")).alias("regular_price")), rules)
