@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.money import discount_pct, parse_money
-from pricetide.functions.text import normalize_spaces
+from pricetide.functions.text import bind, normalize_spaces
 from pricetide.functions.urls import UrlRules, canonical_url, is_product_url
 
 
@@ -34,15 +34,23 @@ MEMBER_AUDIENCE, SALE_AUDIENCE = "cav_member", "public_offer"
 
 def extract_labelled_quotes(pages: DataFrame, rules: UrlRules = UrlRules(), product_path: str = "/tienda/producto/") -> DataFrame:
     """Cards whose prices carry labels: member, sale and normal price side by side."""
-    cards = pages.select("store", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<(?:article|li)\b[^>]*>.*?</(?:article|li)>"), F.lit(0))).alias("card"))
-    rows = cards.select(
-        "store", F.regexp_extract("card", rf'(?i)<a\b[^>]*href="([^"]*{product_path}[^"]*)"', 1).alias("href"), page_text(F.col("card")).alias("text"),
-        page_text(F.regexp_extract("card", r"(?is)<h[234]\b[^>]*>(.*?)</h[234]>", 1)).alias("heading"),
-        page_text(F.regexp_extract("card", rf'(?is)<a\b[^>]*href="[^"]*{product_path}[^"]*"[^>]*>(.*?)</a>', 1)).alias("link_text")).where("href <> ''")
-    rows = rows.withColumns({k: parse_money(F.regexp_extract("text", p, 1)) for k, p in LABELS.items() if k != "stock"})
-    stock = F.regexp_extract("text", LABELS["stock"], 1).try_cast("int")
-    name = F.when(F.length("heading") >= 3, F.col("heading")).otherwise(F.col("link_text"))
-    rows = rows.withColumn("name", name).where(F.coalesce(stock > 0, F.lit(True))).where("coalesce(normal, member, sale) is not null and length(name) >= 3")
+    cards = F.regexp_extract_all("body", F.lit(r"(?is)<(?:article|li)\b[^>]*>.*?</(?:article|li)>"), F.lit(0))
+
+    def texts(card: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(card, rf'(?i)<a\b[^>]*href="([^"]*{product_path}[^"]*)"', 1).alias("href"), page_text(card).alias("text"),
+            page_text(F.regexp_extract(card, r"(?is)<h[234]\b[^>]*>(.*?)</h[234]>", 1)).alias("heading"),
+            page_text(F.regexp_extract(card, rf'(?is)<a\b[^>]*href="[^"]*{product_path}[^"]*"[^>]*>(.*?)</a>', 1)).alias("link_text"))
+
+    def facts(c: Column) -> Column:
+        return F.struct(
+            c["href"].alias("href"), F.when(F.length(c["heading"]) >= 3, c["heading"]).otherwise(c["link_text"]).alias("name"),
+            F.regexp_extract(c["text"], LABELS["stock"], 1).try_cast("int").alias("stock"),
+            *(bind(F.regexp_extract(c["text"], p, 1), lambda digits: parse_money(digits)).alias(k) for k, p in LABELS.items() if k != "stock"))
+
+    # Read inside the array, once a card: filters behind a projection would be pushed below it and read every card again.
+    rows = pages.select("store", F.inline(F.transform(F.transform(cards, texts), facts))).where("href <> ''")
+    rows = rows.where(F.coalesce(F.col("stock") > 0, F.lit(True))).where("coalesce(normal, member, sale) is not null and length(name) >= 3")
     current = F.coalesce(F.least("sale", "normal"), F.col("member"))
     rows = rows.withColumn("current", current)
     regular = F.when(F.col("normal") > F.col("current"), F.col("normal"))
