@@ -198,3 +198,10 @@ def test_new_products_are_told_by_the_join_not_by_their_id(spark):
     catalog = spark.createDataFrame(rows, "listing_id bigint, store_id int, part_id bigint, master_id bigint, name string, data_quality_score int, package_quantity int")
     found = {r["listing_id"]: (r["known_master_id"], r["relinked"]) for r in repair_pack_identity(SimpleNamespace(v_catalog=catalog, v_names=catalog)).collect()}
     assert found == {11: (None, True), 12: (2, False)}
+
+
+def test_words_are_joined_without_signatures(spark):
+    plan = M.MatchPlan(listings(spark, [(i, i, i, f"Ron Abuelo Anejo {7 + i} 700 ml", None, None) for i in range(1, 5)]))
+    steps = M.candidate_profiles(plan.ordered, 0.5)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exploded = [s for s in steps if "Generate" in s]
+    assert len(exploded) >= 2 and not any("sig#" in s for s in exploded)
